@@ -115,7 +115,7 @@ def pack(
     groups = max(1, -(-total // group_rows))
     dealt = cut.withColumn("group_", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")])
         lengths = table.column("length").to_numpy()
         sequence, offset = best_fit(lengths, capacities, weights, rule)
