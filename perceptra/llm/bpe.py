@@ -148,7 +148,7 @@ class MergeTable:
 class Encoder:
     """Encodes whole texts or streams of them with constant memory."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 120_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -316,7 +316,7 @@ class Decoder:
 _KEPT: dict[str, tuple[Encoder, Decoder]] = {}
 
 
-def portions(texts: list[str | None], most: int = 4_000_000) -> Iterator[slice]:
+def portions(texts: list[str | None], most: int = 1_500_000) -> Iterator[slice]:
     """Slices of ``texts`` of about ``most`` characters each, one text at least."""
     start = size = 0
     for i, text in enumerate(texts):

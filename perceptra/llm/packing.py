@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perceptra.llm import bpe
-from perceptra.llm.common import materialise
+from perceptra.llm.common import materialise, small
 
 
 def best_fit(
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = 2048, end_id: int = 0)
 
     def run(batches):
         encoder, _ = bpe.kept(tokenizer)
-        for batch in batches:
+        for batch in small(batches):
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in bpe.portions(texts):
                 rows = []

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perceptra.llm.common import small
+
 #: Byte classes of the character statistics; bytes above 0x7F belong to letters.
 _LOWER, _UPPER, _DIGIT, _SPACE, _MARK, _SYMBOL, _CONTROL = range(7)
 _CLASS = np.full(256, _LOWER, np.uint8)
@@ -60,7 +62,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, x): the statistics of every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perceptra.llm.common import small
+
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: Order of the kinds in every list of spans.
 KINDS = ("assign", "access", "hex", "markov")
@@ -87,7 +89,7 @@ def train(docs: DataFrame, prior: float = 5.0) -> RandomnessModel:
     """
 
     def counts(batches):
-        for batch in batches:
+        for batch in small(batches):
             total = np.zeros((2, _N, _N), np.int64)
             for text in batch.column(0).to_pylist():
                 if not text:
@@ -151,7 +153,7 @@ def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-        for batch in batches:
+        for batch in small(batches):
             rows = [
                 [{"start": a, "end": b, "kind": k} for a, b, k in all_spans(t or "", model, threshold)]
                 for t in batch.column(1).to_pylist()

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perceptra.llm.common import materialise
+from perceptra.llm.common import materialise, small
 from perceptra.llm.components import connected_components
 
 BYTES = 8
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     """(doc_id, fp): a signed long with the fingerprint's bits for every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             found = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
