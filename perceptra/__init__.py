@@ -1,0 +1 @@
+"""Perception and telemetry analytics as Spark DataFrame operators."""
