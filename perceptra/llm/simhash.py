@@ -141,11 +141,14 @@ def links(values: DataFrame, max_bits: int = 4) -> DataFrame:
     for i, places in enumerate(combinations(range(BYTES), need)):
         mask = int.from_bytes(bytes(255 if p in places else 0 for p in range(BYTES)), "little", signed=True)
         keys.append(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(mask))))
-    postings = values.select("fp", F.explode(F.array(*keys)).alias("key"))
+    spark = values.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = values.select("fp").repartition(parts, "fp")
+    # One exchange by key serves both the sizes of the lists and their members.
+    postings = spread.select("fp", F.explode(F.array(*keys)).alias("key")).repartition("key")
     lists = postings.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("fp").alias("src"), F.max("fp").alias("dst")
     )
-    lists = materialise(lists.where("n > 1"))
     differing = F.col("src").bitwiseXOR(F.col("dst"))
     shared = sum((F.shiftrightunsigned(differing, 8 * p).bitwiseAND(255) == 0).cast("int") for p in range(BYTES))
     pairs = lists.where("n = 2").where(shared >= need).where(F.bit_count(differing) <= max_bits).select("src", "dst")
