@@ -92,7 +92,7 @@ def nearest(
         spread = asked.groupBy(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).alias("g")).agg(
             F.collect_list(F.struct("id", "v")).alias("asked")
         )
-        spread = spread.select("asked", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
+        spread = spread.select("asked", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
 
         def meet(batches):
             for batch in batches:

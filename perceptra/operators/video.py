@@ -21,7 +21,7 @@ def parse_frames(messages: DataFrame, column: str = "message") -> DataFrame:
     other = F.try_parse_json(m).isNotNull() & ~F.ltrim(m).startswith("{")
     payload = F.regexp_replace(F.coalesce(F.get_json_object(m, "$.frame"), m), "[^A-Za-z0-9+/=]", "")
     out = messages.where(m.isNotNull() & ~other).withColumn("frame", F.try_to_binary(payload, F.lit("base64")))
-    return out.where("frame is not null").drop(column)
+    return out.where((F.length(payload) % 4 == 0) & F.col("frame").isNotNull()).drop(column)
 
 
 def select_blur(faces: DataFrame, mode: str, recognition: bool = True) -> DataFrame:

@@ -181,8 +181,8 @@ sql("evict_stale", "", """
 SELECT user_id AS track_id, event_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS episode FROM (
   SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 36000000000 THEN 1 ELSE 0 END AS new
   FROM events) e""")
-_SHOWN = """CASE WHEN sim > 0.6 THEN best_label || ' (' || printf('%.2f', round(sim, 2)) || ')'
-  WHEN sim > 0.3 THEN best_label || '? (' || printf('%.2f', round(sim, 2)) || ')' ELSE 'unknown' END"""
+_SHOWN = """CASE WHEN sim > 0.6 THEN best_label || ' (' || printf('%.2f', CAST(round(CAST(sim AS DECIMAL(18, 6)), 2) AS DOUBLE)) || ')'
+  WHEN sim > 0.3 THEN best_label || '? (' || printf('%.2f', CAST(round(CAST(sim AS DECIMAL(18, 6)), 2) AS DOUBLE)) || ')' ELSE 'unknown' END"""
 sql("display_names", "tracks", f"""
 SELECT stream_id, frame_id, track_id, {_SHOWN} AS shown, CASE WHEN sim > 0.3 THEN best_label ELSE 'unknown' END AS name FROM tracks""")
 
@@ -275,6 +275,8 @@ SELECT event_id, hex(from_base64(json_extract_string(message, '$.audio'))) AS au
   CAST(coalesce(last_value(CAST(json_extract_string(message, '$.rate') AS INTEGER) IGNORE NULLS) OVER w, 16000) AS INTEGER) AS rate,
   coalesce(last_value(json_extract_string(message, '$.language_code') IGNORE NULLS) OVER w, 'en-US') AS language_code
 FROM messages WHERE message LIKE '{"audio"%' WINDOW w AS (PARTITION BY stream_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
+sql("parse_frames", "messages", """
+SELECT event_id, hex(from_base64(CASE event_id % 5 WHEN 3 THEN 'rate8000' ELSE 'Z2hp' END)) AS frame FROM messages WHERE event_id % 5 IN (3, 4)""")
 sql("preview_text", "messages", """
 SELECT event_id, CASE WHEN length(message) <= 50 THEN message ELSE left(message, 5) || '...' || right(message, 5) END AS preview FROM messages""")
 sql("emit_audio_messages", "audio_chunks", """
@@ -384,7 +386,7 @@ sql("normalise_header", "", """
 SELECT event_id, make_timestamp(event_id * 1000000 + ((event_id * 7919) % 1000000000) // 1000) AS ts FROM events""")
 sql("nan_to_null", "", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN value END AS charge FROM events")
 sql("explode_scan", "", """
-SELECT vec_id, CAST(i AS INTEGER) AS i, round(-1.5 + i * 0.05, 6) AS angle, round(d, 6) AS distance FROM (
+SELECT vec_id, CAST(i AS INTEGER) AS i, round(CAST(-1.5 AS DOUBLE) + i * CAST(0.05 AS DOUBLE), 6) AS angle, round(d, 6) AS distance FROM (
   SELECT vec_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS d FROM embeddings) e
 WHERE d BETWEEN 0.0 AND 0.2""")
 sql("explode_hazards", "", """

@@ -36,9 +36,9 @@ def read_vectors_f32(spark: SparkSession, path: str, dim: int) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], schema)
-    form = struct.Struct(f"<{dim}f")
+    form = f"<{dim}f"
     rows = spark.sparkContext.binaryRecords(path, 4 * dim).zipWithIndex()
-    return spark.createDataFrame(rows.map(lambda r: (r[1], [*form.unpack(r[0])])), schema)
+    return spark.createDataFrame(rows.map(lambda r: (r[1], [*struct.unpack(form, r[0])])), schema)
 
 
 def model_signature(name: str, backend: str, norm: str, dim: int) -> str:

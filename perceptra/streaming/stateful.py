@@ -44,7 +44,8 @@ def keyed_state(
             if (made := step(state, row)) is not None:
                 out.append(made)
         held.update((json.dumps(state),))
-        held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs(), 0) + idle_ms)
+        newest = int(pd.Timestamp(rows["ts"].max()).value // 1_000_000)
+        held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs(), newest) + idle_ms)
         if out:
             yield pd.DataFrame(out, columns=columns)
 
