@@ -2,8 +2,8 @@
 
 Two first-order models over the characters ``A-Za-z0-9+/_.=-`` are trained
 from labelled samples that the corpus itself gives: the values that the fixed
-patterns find (random strings), and every other run of those characters
-(ordinary identifiers). A run whose log-likelihood ratio per transition passes
+patterns find (random strings), and all other text but for the runs in
+question (ordinary identifiers). A run whose log-likelihood ratio per transition passes
 the threshold becomes a further span.
 """
 
@@ -60,6 +60,16 @@ def _values(text: str, spans: list[tuple[int, int, str]]) -> list[bytes]:
     return [v.encode("ascii") for v in out.values()]
 
 
+def outside(text: str, spans: list[tuple[int, int, str]], mark: str = "\n") -> str:
+    """``text`` with ``mark`` in place of each stretch that spans cover."""
+    out, at = [], 0
+    for start, end, _ in sorted(spans):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]]) if at else text
+
+
 def _transitions(data: bytes) -> np.ndarray:
     at = _INDEX[np.frombuffer(data, np.uint8)]
     pairs = at[:-1] * (_N + 1) + at[1:]
@@ -94,10 +104,11 @@ def train(docs: DataFrame, prior: float = 5.0) -> RandomnessModel:
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
-                values = _values(text, base_spans(text))
-                own = sum((_transitions(v) for v in values), np.zeros((_N, _N), np.int64))
-                total[0] += _transitions(text.encode("utf-8", "replace")) - own
-                total[1] += own
+                spans = base_spans(text)
+                for value in _values(text, spans):
+                    total[1] += _transitions(value)
+                unsure = [(*m.span(), "run") for m in _RUN.finditer(text) if looks_mixed(m.group())]
+                total[0] += _transitions(outside(text, spans + unsure).encode("utf-8", "replace"))
             flat = total.reshape(2, -1)
             kind, cell = np.nonzero(flat)
             yield pa.RecordBatch.from_arrays(
@@ -196,12 +207,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", threshold: float = 0.5) -> D
     def clean(text: str | None) -> str | None:
         if not text:
             return text
-        out, at = [], 0
-        for start, end, _ in all_spans(text, model, threshold):
-            if start >= at:
-                out += [text[at:start], mark]
-            at = max(at, end)
-        return "".join([*out, text[at:]]) if at else text
+        return outside(text, all_spans(text, model, threshold), mark)
 
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([clean(t) for t in texts], dtype="object")
