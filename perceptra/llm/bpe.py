@@ -12,6 +12,7 @@ normaliser NFC + white space + lower case, and a word pattern.
 from __future__ import annotations
 
 import codecs
+import gc
 import json
 import re
 import unicodedata
@@ -221,13 +222,23 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> None:
         """Add stretches without white space to the memo."""
-        plain = {c for c in chunks if c.isascii() and c.isalpha()}
-        parts = {c: self._words.findall(c) for c in chunks - plain}
-        words = plain.union(*parts.values()) if parts else plain
+        plain, ending, parts = [], [], {}
+        for c in chunks:
+            if c.isalpha():  # letters alone are one word of the pattern
+                plain.append(c)
+            elif c[-1] in ".,;:!?" and c[:-1].isalpha():
+                ending.append(c)
+            else:
+                parts[c] = self._words.findall(c)
+        words = set(chain(plain, [c[:-1] for c in ending], ".,;:!?", chain.from_iterable(parts.values())))
         self._learn_words(words - self._by_word.keys())
-        by_word = self._by_word
-        self._by_chunk.update((c, by_word[c]) for c in plain)
-        self._by_chunk.update((c, tuple(chain.from_iterable(map(by_word.__getitem__, p)))) for c, p in parts.items())
+        by_word, by_chunk = self._by_word, self._by_chunk
+        for c in plain:
+            by_chunk[c] = by_word[c]
+        for c in ending:
+            by_chunk[c] = by_word[c[:-1]] + by_word[c[-1]]
+        for c, p in parts.items():
+            by_chunk[c] = tuple(chain.from_iterable(map(by_word.__getitem__, p)))
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
@@ -241,8 +252,18 @@ class Encoder:
         """Ids of whole texts; null counts as empty.
 
         What the texts have in common is encoded once. The memo is emptied
-        when it is full, so memory is bounded by its size and these texts.
+        when it is full, so memory is bounded by its size and these texts. No
+        cycles arise here, so the collector does not search for them meanwhile.
         """
+        searching = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_many(texts)
+        finally:
+            if searching:
+                gc.enable()
+
+    def _encode_many(self, texts: list[str | None]) -> list[list[int]]:
         if len(self._by_chunk) > self._memo:
             self._by_chunk.clear()
         if len(self._by_word) > self._memo:
