@@ -275,6 +275,11 @@ SELECT event_id, hex(from_base64(json_extract_string(message, '$.audio'))) AS au
   CAST(coalesce(last_value(CAST(json_extract_string(message, '$.rate') AS INTEGER) IGNORE NULLS) OVER w, 16000) AS INTEGER) AS rate,
   coalesce(last_value(json_extract_string(message, '$.language_code') IGNORE NULLS) OVER w, 'en-US') AS language_code
 FROM messages WHERE message LIKE '{"audio"%' WINDOW w AS (PARTITION BY stream_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
+sql("read_topic", "", """
+SELECT make_timestamp(event_id * 1000000) AS ts, CAST(user_id AS VARCHAR) AS frame_id,
+  CASE event_id % 4 WHEN 0 THEN 'DISABLED' WHEN 1 THEN 'READY' WHEN 2 THEN 'ACTIVE' ELSE 'UNKNOWN' END AS status_mic_name,
+  CASE event_id % 3 WHEN 0 THEN 'DISABLED' WHEN 1 THEN 'READY' ELSE 'ACTIVE' END AS status_speaker_name, event_type AS sentence FROM events""")
+sql("strip_score", "tracks", "SELECT stream_id, frame_id, track_id, best_label AS name FROM tracks")
 sql("parse_frames", "messages", """
 SELECT event_id, hex(from_base64(CASE event_id % 5 WHEN 3 THEN 'rate8000' ELSE 'Z2hp' END)) AS frame FROM messages WHERE event_id % 5 IN (3, 4)""")
 sql("preview_text", "messages", """

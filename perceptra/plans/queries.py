@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perceptra import storage
 from perceptra.functions import boxes, text, vectors
-from perceptra.operators import asof, detections, gallery, metrics, pose, presence, sessions, speech, telemetry, tracks, video
+from perceptra.operators import (
+    asof,
+    detections,
+    gallery,
+    metrics,
+    models,
+    pose,
+    presence,
+    sessions,
+    speech,
+    telemetry,
+    tracks,
+    video,
+)
 from perceptra.plans.fixtures import fixture
-from perceptra.sources import gallery_files
+from perceptra.sources import gallery_files, messages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -396,25 +410,25 @@ def who_report(names, rows):
 
 
 @query("messages")
-def parse_audio_messages(messages):
-    out = speech.parse_audio_messages(messages)
+def parse_audio_messages(rows):
+    out = speech.parse_audio_messages(rows)
     return out.select("event_id", F.hex("audio").alias("audio"), "rate")
 
 
 @query("messages")
-def parse_remote_audio(messages):
-    out = speech.parse_remote_audio(messages)
+def parse_remote_audio(rows):
+    out = speech.parse_remote_audio(rows)
     return out.select("event_id", F.hex("audio").alias("audio"), "rate", "language_code")
 
 
 @query("messages")
-def parse_frames(messages):
-    return video.parse_frames(messages).select("event_id", F.hex("frame").alias("frame"))
+def parse_frames(rows):
+    return video.parse_frames(rows).select("event_id", F.hex("frame").alias("frame"))
 
 
 @query("messages")
-def preview_text(messages):
-    return messages.select("event_id", text.preview(F.col("message"), 50).alias("preview"))
+def preview_text(rows):
+    return rows.select("event_id", text.preview(F.col("message"), 50).alias("preview"))
 
 
 @query("audio_chunks")
@@ -505,8 +519,8 @@ def conn_sessions(events):
 def route_messages(events, all_events):
     opened = sessions.conn_sessions(events, 21_600.0)
     direct = F.when(F.col("event_id") % 3 > 0, F.concat(F.col("user_id").cast("string"), F.lit("-1")))
-    messages = all_events.where("event_type = 'view'").select(F.col("event_id").alias("message_id"), direct.alias("connection_id"), "ts")
-    return sessions.route_messages(messages, opened)
+    sent = all_events.where("event_type = 'view'").select(F.col("event_id").alias("message_id"), direct.alias("connection_id"), "ts")
+    return sessions.route_messages(sent, opened)
 
 
 # --- frames, metrics, settings ---------------------------------------------------------
@@ -626,3 +640,99 @@ def explode_hazards(events):
     hazards = F.transform(kinds, lambda k: F.struct(k.alias("hazard_type")))
     out = telemetry.explode_hazards(events.select("event_id", hazards.alias("detections")))
     return telemetry.decode_enums(out).select("event_id", "hazard_type", "hazard_type_name")
+
+
+# --- sources, pixels, models ---------------------------------------------------------------
+
+
+@query("events")
+def read_topic(events):
+    stamp = F.struct(F.col("event_id").cast("int").alias("sec"), F.lit(0).cast("long").alias("nanosec"))
+    header = F.struct(stamp.alias("stamp"), F.col("user_id").cast("string").alias("frame_id"))
+    rows = events.select(
+        header.alias("header"), (F.col("event_id") % 4).cast("byte").alias("status_mic"), (F.col("event_id") % 3).cast("byte").alias("status_speaker"),
+        F.struct(F.col("event_type").alias("data")).alias("sentence_to_speak"),
+    )
+    topic = messages.read_topic(events.sparkSession, storage.write_table(rows), "AudioStatus")
+    out = telemetry.decode_enums(telemetry.normalise_header(topic))
+    return ntz(out.select("ts", "header.frame_id", "status_mic_name", "status_speaker_name", F.col("sentence_to_speak.data").alias("sentence")), "ts")
+
+
+def _pictures(events: DataFrame) -> DataFrame:
+    """Frames of 6 x 4 pixels with bytes from the event's number."""
+    pixel = F.lpad(F.hex(F.col("event_id")), 6, "0")
+    encoding = F.element_at(F.array(F.lit("rgb8"), F.lit("bgr8"), F.lit("mono8")), (F.col("event_id") % 3 + 1).cast("int"))
+    return events.select(
+        (F.col("event_id") % 3).alias("stream_id"), F.col("event_id").alias("frame_id"), F.lit(6).alias("width"), F.lit(4).alias("height"),
+        encoding.alias("encoding"), F.unhex(F.repeat(pixel, 24)).alias("data"),
+    )
+
+
+@query("events")
+def to_bgr(events):
+    return video.to_bgr(_pictures(events)).select("frame_id", "encoding", F.hex("data").alias("data"))
+
+
+@query("events")
+def pixelate_frames(events):
+    frames = video.to_bgr(_pictures(events))
+    boxes_ = frames.select("stream_id", "frame_id", F.lit(0).alias("det_idx"), F.lit(1.0).alias("x1"), F.lit(1.0).alias("y1"), F.lit(4.0).alias("x2"), F.lit(3.0).alias("y2"), F.lit(0.9).alias("score"))
+    return video.pixelate_frames(frames, boxes_, blocks=0).select("frame_id", F.hex("data").alias("data"))
+
+
+def _hash_encoder():
+    """Deterministic vectors for texts or bytes."""
+    import zlib
+
+    import numpy as np
+
+    def encode(items):
+        raw = [i if isinstance(i, bytes) else i.encode() for i in items]
+        return np.array([[zlib.crc32(r, k) % 1000 - 500 for k in range(4)] for r in raw], float)
+
+    return encode
+
+
+@query("conversations")
+def embed_text(rows):
+    ids = rows.withColumn("id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    out = models.embed_text(ids, _hash_encoder, "id")
+    return out.select("id", F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first"))
+
+
+@query("documents")
+def embed_images(rows):
+    out = models.embed_images(rows.select("doc_id", F.col("text").cast("binary").alias("content")), _hash_encoder, "doc_id")
+    return out.select("doc_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first"))
+
+
+def _describe():
+    return lambda items, prompt: f"{prompt}: {len(items)} from {items[0]}"
+
+
+@query("events")
+def apply_model(events):
+    groups = video.batch_frames(_frames(events))
+    out = models.apply_model(groups, _describe, "The most interesting aspect of the images is")
+    return out.select("stream_id", "batch", text.clean_reply(F.col("reply")).alias("reply"), "error")
+
+
+@query("gallery_files", "gallery_items", "embeddings")
+def refresh_gallery(files, items, rows):
+    number = F.pmod(F.xxhash64("path"), F.lit(7)).cast("double")
+    embed = lambda work: work.withColumn("embedding", F.array(number, F.lit(1.0)))
+    held = items.select("row_id", F.array(F.lit(0.0), F.lit(1.0)).alias("embedding"))
+    _, _, centroids = gallery.refresh_gallery(files, items, held, embed)
+    return centroids.select("label", "count", F.round(F.get("centroid", F.lit(1)), 6).alias("second"))
+
+
+@query("gallery", "probes")
+def hit_or_miss(rows, probes):
+    found = retrieve_answers(rows, probes)
+    return found.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("tracks")
+def strip_score(rows):
+    shown = F.concat(F.col("best_label"), F.lit("? ("), F.col("sim").cast("string"), F.lit(")"))
+    return rows.select("stream_id", "frame_id", "track_id", text.strip_score(shown).alias("name"))
