@@ -102,7 +102,10 @@ def _frequent(docs: DataFrame, share: float) -> list[tuple[str, str]]:
             seen: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen[lang].update((text or b"").lower().split())
-            rows = [(k, w) for k, c in seen.items() for w, n in c.items() if n >= share * c.total()]
+            rows = []
+            for lang, words in seen.items():
+                least = share * words.total()
+                rows += [(lang, w) for w, n in words.items() if n >= least]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["lang", "word"])
 
