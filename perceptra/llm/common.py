@@ -1,43 +1,14 @@
-"""Helpers shared by the corpus operators: shared storage and schema checks."""
+"""Helpers shared by the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A null or missing text counts as the empty text in every operator.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the driver and all executors see.
-
-    Read from ``spark.checkpoint.dir``; where that is unset (tests on one
-    machine) a temporary folder is made and set.
-    """
-    context = spark.sparkContext
-    known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="perceptra-")
-    context.setCheckpointDir(path)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs no recomputation of what lies
-    before, and several readers share one pass.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from perceptra.storage import materialise, shared_dir
 
+__all__ = ["arrow_rows", "materialise", "shared_dir", "small", "table"]
 
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
