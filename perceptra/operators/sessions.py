@@ -12,8 +12,9 @@ def conn_sessions(events: DataFrame, timeout_s: float = 300.0) -> DataFrame:
     reason is ``disconnect`` or ``timeout``. Each connect opens a session; a
     disconnect without one is ignored.
     """
-    after = Window.partitionBy("connection_id").orderBy("ts").rowsBetween(1, Window.unboundedFollowing)
-    closed = F.first(F.when(F.col("event") == "disconnect", F.col("ts")), ignorenulls=True).over(after)
+    # In falling order the nearest later disconnect is the last one so far: one pass over a connection's events.
+    later = Window.partitionBy("connection_id").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1)
+    closed = F.last(F.when(F.col("event") == "disconnect", F.col("ts")), ignorenulls=True).over(later)
     rows = events.withColumn("closed_", closed).where("event = 'connect'")
     limit = F.col("ts") + F.make_dt_interval(secs=F.lit(timeout_s))
     return rows.select(

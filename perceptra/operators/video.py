@@ -147,8 +147,8 @@ class RateWatch:
 def fps_change_points(frames: DataFrame, every_s: float = 5.0, change: float = 0.3, initial: float = 30.0, key: str = "stream_id") -> DataFrame:
     """(key, ts, fps) of the frames at which the rate in use changes.
 
-    Only one row per second and stream is handled in order (checks are seconds
-    apart): the newest estimate of each second.
+    Each check depends on the one before, so a stream's estimates are one
+    sequential group of three columns.
     """
     rated = fps_estimate(frames, initial=initial, key=key)
     kind = dict(frames.dtypes)[key]
