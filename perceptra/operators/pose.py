@@ -72,44 +72,55 @@ def fall_score(
             known = known & seen(i)
         return F.when(known & (dx > 1), dy / (dx + 1e-6))
 
-    lines = (("left", lean((5,), (11,))), ("right", lean((6,), (12,))), ("mid", lean((5, 6), (11, 12))))
-    flat = F.array_min(F.filter(F.array(*(s for _, s in lines)), lambda s: s < torso))
-    side = F.coalesce(*(F.when(s == flat, name) for name, s in lines))
-    torso_flag = flat.isNotNull()
-    torso_conf = F.when(torso_flag, 1 - flat / torso).otherwise(0.0)
-
+    lines = {"left": lean((5,), (11,)), "right": lean((6,), (12,)), "mid": lean((5, 6), (11, 12))}
     legs = F.transform(
         F.filter(F.array(*(point(i) for i in (15, 16, 13, 14))), lambda k: k["conf"] >= kp), lambda k: k["y"]
     )
-    gap = (y(5, 6) - F.array_max(legs)) / box_h
-    height_known = seen(5) & seen(6) & (F.size(legs) > 0) & (box_h >= 10)
-    height_flag = F.coalesce(height_known & (gap > -height), F.lit(False))
-    height_conf = F.when(height_flag, F.least(F.lit(1.0), (gap + height) / 0.5)).otherwise(0.0)
-
-    ratio = box_w / box_h
+    standing = seen(5) & seen(6) & (F.size(legs) > 0) & (box_h >= 10)
     use_aspect = (F.col("n_upper") >= 2) & (F.col("n_lower") >= 3)
-    aspect_flag = F.coalesce(use_aspect & (box_h >= 10) & (ratio > aspect), F.lit(False))
-    aspect_conf = F.when(aspect_flag, F.least(F.lit(1.0), (ratio - aspect) / 0.5)).otherwise(0.0)
-
-    weight = lambda full, bare: F.when(use_aspect, full).otherwise(bare)
-    signs = (
-        (torso_flag, torso_conf, weight(0.4, 0.5), F.format_string("%s torso horizontal (slope=%.2f)", side, flat)),
-        (height_flag, height_conf, weight(0.4, 0.5), F.format_string("height inverted (diff=%.2f)", gap)),
-        (aspect_flag, aspect_conf, weight(0.2, 0.0), F.format_string("wide bbox (ratio=%.2f)", ratio)),
+    # Each step reads the columns of the one before, so that no value is worked out twice.
+    out = poses.withColumns({f"{side}_": slope for side, slope in lines.items()}).withColumns(
+        {
+            "flat_": F.array_min(F.filter(F.array(*(f"{side}_" for side in lines)), lambda s: s < torso)),
+            "gap_": F.when(standing, (y(5, 6) - F.array_max(legs)) / box_h),
+            "ratio_": F.when(use_aspect & (box_h >= 10), box_w / box_h),
+            "weight_": F.when(use_aspect, 0.4).otherwise(0.5),
+            "aspect_weight_": F.when(use_aspect, 0.2).otherwise(0.0),
+        }
+    )
+    flat, gap, ratio = F.col("flat_"), F.col("gap_"), F.col("ratio_")
+    side = F.coalesce(*(F.when(F.col(f"{name}_") == flat, name) for name in lines))
+    out = out.withColumns(
+        {
+            "torso_": F.when(flat.isNotNull(), 1 - flat / torso).otherwise(0.0),
+            "height_": F.when(gap > -height, F.least(F.lit(1.0), (gap + height) / 0.5)).otherwise(0.0),
+            "aspect_": F.when(ratio > aspect, F.least(F.lit(1.0), (ratio - aspect) / 0.5)).otherwise(0.0),
+            "reason_": F.array_join(
+                F.array_compact(
+                    F.array(
+                        F.when(flat.isNotNull(), F.format_string("%s torso horizontal (slope=%.2f)", side, flat)),
+                        F.when(gap > -height, F.format_string("height inverted (diff=%.2f)", gap)),
+                        F.when(ratio > aspect, F.format_string("wide bbox (ratio=%.2f)", ratio)),
+                    )
+                ),
+                "; ",
+            ),
+        }
     )
-    total = sum((F.when(c > 0, w).otherwise(0.0) for _, c, w, _ in signs), F.lit(0.0))
-    score = sum((F.when(f, c * w).otherwise(0.0) for f, c, w, _ in signs), F.lit(0.0))
-    confidence = F.when(total > 0, score / total).otherwise(0.0)
-    reason = F.array_join(F.filter(F.array(*(F.when(f, r) for f, _, _, r in signs)), lambda r: r.isNotNull()), "; ")
+    signs = (("torso_", "weight_"), ("height_", "weight_"), ("aspect_", "aspect_weight_"))
+    total = sum((F.when(F.col(c) > 0, F.col(w)).otherwise(0.0) for c, w in signs), F.lit(0.0))
+    score = sum((F.col(c) * F.col(w) for c, w in signs), F.lit(0.0))
+    out = out.withColumn("confidence_", F.when(total > 0, score / total).otherwise(0.0))
     enough = F.col("n_total") >= 3
     few = F.concat(F.lit("insufficient keypoints (total="), F.col("n_total").cast("string"), F.lit(", need>=3)"))
-    return poses.withColumns(
+    out = out.withColumns(
         {
-            "is_fallen": enough & (confidence > 0.5),
-            "fall_confidence": F.when(enough, confidence).otherwise(0.0),
-            "fall_reason": F.when(~enough, few).when(reason == "", "normal").otherwise(reason),
+            "is_fallen": enough & (F.col("confidence_") > 0.5),
+            "fall_confidence": F.when(enough, F.col("confidence_")).otherwise(0.0),
+            "fall_reason": F.when(~enough, few).when(F.col("reason_") == "", "normal").otherwise(F.col("reason_")),
         }
     )
+    return out.select(*poses.columns, "is_fallen", "fall_confidence", "fall_reason")
 
 
 def smooth_falls(
