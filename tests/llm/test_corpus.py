@@ -331,6 +331,45 @@ def test_passages(spark):
     assert cut[5].n_chars == len(cut[5].text) and all(cut[i].text == texts[i] for i in (0, 1, 3, 4, 7, 8, 10, 11))
 
 
+def test_passages_past_an_unrelated_first_partner(spark):
+    """Doc 0 holds every min-hash shingle of the passage in unrelated places; doc 2 holds them before the passage too."""
+    rng = random.Random(8)
+    shared, other = (prose(rng, 60, 100_000).split() for _ in range(2))
+    scatter = lambda words: " ".join(" ".join(words[i : i + 5]) + " " + prose(rng, 60, 100_000) for i in range(56))
+    texts = [scatter(shared), prose(rng, 90, 100_000) + " " + " ".join(shared), scatter(other) + " " + " ".join(other)]
+    texts += [" ".join(shared) + " " + prose(rng, 90, 100_000), prose(rng, 70, 100_000) + " " + " ".join(other)]
+    found = passages.near_duplicate_passages(docs_of(spark, texts)).collect()
+    assert {(r.doc_id, r.first_id) for r in found} == {(3, 1), (4, 2)}
+    whole = {d: set().union(*(range(r.start_word, r.end_word) for r in found if r.doc_id == d)) for d in (3, 4)}
+    assert whole[3] == set(range(60)) and whole[4] == set(range(70, 130))
+
+
+def test_relinked_rows_go_to_another_round(spark, monkeypatch):
+    monkeypatch.setattr(passages, "HELD", 2)
+    rng = np.random.default_rng(4)
+    x = [rng.integers(0, 1 << 32, 91).astype(np.uint32).tobytes() for _ in range(4)]
+    import pyarrow as pa
+
+    rows = [(1, i, 45, True, 0, x[i % 4]) for i in range(8)]
+    found, rounds = set(), 0
+    while rows:
+        batch = pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*rows, strict=True)], ["key", "doc_id", "c", "ask", "low", "x"])
+        out = [r for b in passages._relinked(iter([batch]), 46, 0.8, 5) for r in b.to_pylist()]
+        found |= {(r["doc_id"], r["first_id"]) for r in out if r["key"] is None}
+        rows = [tuple(r[c] for c in ("key", "doc_id", "c", "ask", "low", "x")) for r in out if r["key"] is not None]
+        rounds += 1
+    assert found == {(4, 0), (5, 1), (6, 2), (7, 3)} and rounds == 2
+
+
+def test_all_overlapping_links_are_compared():
+    """A hundred narrow links in between do not hide the partner of another function."""
+    n = 102
+    place = (np.arange(1000, 1000 + n) * 8) + (np.arange(n) == n - 1)
+    span = np.where((np.arange(n) == 0) | (np.arange(n) == n - 1), (200 << 32) | 200, 0)
+    rows = np.stack([np.full(n, 5), np.full(n, 1), place, span, place, span])
+    assert passages._agreeing(rows, 46, 2) == [(5, 901, 1200, 1, 901, 1200)]
+
+
 def test_compact_windows_are_the_wide_nodes():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 62, 300).astype(np.uint64)
