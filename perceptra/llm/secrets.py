@@ -3,8 +3,8 @@
 Two first-order models over the characters ``A-Za-z0-9+/_.=-`` are trained
 from labelled samples that the corpus itself gives: the values that the fixed
 patterns find (random strings), and all other text but for the runs in
-question (ordinary identifiers). A run whose log-likelihood ratio per transition passes
-the threshold becomes a further span.
+question (ordinary identifiers). The stretches of a run whose log-likelihood ratio passes
+the threshold become further spans.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 _N = len(ALPHABET)
 _INDEX = np.full(256, _N, np.int64)
 _INDEX[list(ALPHABET)] = np.arange(_N)
+_MARKS = _INDEX[list(b"_.=-")]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -134,22 +135,73 @@ def train(docs: DataFrame, prior: float = 5.0) -> RandomnessModel:
 
 
 def looks_mixed(run: str) -> bool:
-    """A run of one kind of character (a word, a number) is never called random."""
+    """A run of both kinds of characters: it may be random and teaches the identifier model nothing."""
     digits = sum(map(run.count, "0123456789"))
     letters = sum(c.isalpha() for c in run)
     return digits >= 3 and letters >= 3
 
 
+def _best(ratio: list[float]) -> tuple[float, int, int]:
+    """Sum, start and end (exclusive) of the stretch with the largest sum."""
+    best, now, start = (0.0, 0, 0), 0.0, 0
+    for i, r in enumerate(ratio):
+        if now <= 0:
+            now, start = 0.0, i
+        now += r
+        if now > best[0]:
+            best = now, start, i + 1
+    return best
+
+
+def random_stretches(text: str, spans: list[tuple[int, int, str]], model: RandomnessModel, threshold: float) -> list[tuple[int, int]]:
+    """Stretches of the alphabet outside ``spans`` that are likelier random, widened to the next mark.
+
+    The largest sum of log-likelihood ratios in a run must reach ``threshold``
+    for each of 19 transitions (20 characters), more for shorter stretches by
+    the square of 20 over their length and for longer runs by the logarithm of
+    theirs, as they offer more stretches. Transitions at the marks ``_.=-``
+    that join words never count for randomness. What is left of a run is searched again.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = _INDEX[np.minimum(codes, 255)]
+    at[codes > 255] = _N
+    for a, b, _ in spans:
+        at[a:b] = _N
+    inside = at < _N
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
+    starts, ends = edges[::2], edges[1::2]
+    ratio = np.zeros(len(at))
+    pairs = inside[:-1] & inside[1:]
+    ratio[:-1][pairs] = model.ratio[at[:-1][pairs], at[1:][pairs]]
+    marks = np.isin(at, _MARKS)
+    marks[:-1] |= marks[1:]
+    ratio[marks] = np.minimum(ratio[marks], 0)
+    gain = np.concatenate([[0], np.cumsum(np.maximum(ratio, 0))])
+    least, out = threshold * 19, []
+    for k in np.flatnonzero(gain[ends] - gain[starts] >= least - 1e-6).tolist():
+        todo = [(int(starts[k]), int(ends[k]))]
+        while todo:
+            low, high = todo.pop()
+            total, a, b = _best(ratio[low : max(low, high - 1)].tolist())
+            if b <= a or total < least:
+                continue
+            a, b = low + a, low + b + 1
+            if total >= least * max(1, 20 / (b - a)) ** 2 + np.log(max(1, (high - low - 1) / 19)):
+                while a > low and text[a - 1].isalnum():
+                    a -= 1
+                while b < high and text[b].isalnum():
+                    b += 1
+                while b < high and text[b] == "=":
+                    b += 1
+                out.append((a, b))
+            todo += [(low, a), (b, high)]
+    return sorted(out)
+
+
 def all_spans(text: str, model: RandomnessModel, threshold: float = 0.5) -> list[tuple[int, int, str]]:
     """The fixed patterns' spans and those that the model adds beside them."""
     spans = base_spans(text)
-    taken, more = [s[:2] for s in spans], []
-    for m in _RUN.finditer(text):
-        start, end = m.span()
-        if any(a < end and start < b for a, b in taken):
-            continue
-        if looks_mixed(m.group()) and model.score(m.group()) >= threshold:
-            more.append((start, end, "markov"))
+    more = [(a, b, "markov") for a, b in random_stretches(text, spans, model, threshold)] if text else []
     return sorted(spans + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -406,6 +406,23 @@ def test_secret_spans(spark):
     assert noise not in clean[2] and "hunter2" not in clean[0] and clean[3] == texts[3]
 
 
+def test_secrets_of_letters_in_paths_and_beside_fixed_patterns(spark):
+    words = "the quick brown fox jumps over lazy dogs and understands internationalization_of_things/and.other-names In May 2024 The Old NATO Office Paid 1500 to Quentin Zhao " * 2000
+    rng = random.Random(9)
+    key = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    some = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    letters, joined, short, deep = key(32, some), key(30, some + "0123456789"), key(16, some + "0123456789"), key(24, some + "0123456789")
+    hexes = "".join(f"{rng.randrange(1 << 160):040x}" for _ in range(2))
+    values = " ".join(f"token={key(40, some + '0123456789')}" for _ in range(200))
+    path = "/the/quick/brown/fox/jumps/over/lazy/dogs/and/understands/internationalization/of/things/"
+    texts = [words, values, f"use {letters} now", f"use {hexes}/{joined} now", f"use {short} now", f"use {path}{deep} now"]
+    clean = {r.doc_id: r.text for r in secrets.redact(docs_of(spark, texts)).collect()}
+    assert clean[0] == words
+    for i, secret in ((2, letters), (3, joined), (4, short), (5, deep)):
+        assert secret not in clean[i] and not any(secret[j : j + 4] in clean[i] for j in range(len(secret) - 3)), i
+    assert clean[5].startswith(f"use {path[:40]}")
+
+
 def test_pipeline(spark, sf_dir):
     columns = spark.read.parquet(f"{sf_dir}/documents.parquet").columns
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
