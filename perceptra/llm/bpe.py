@@ -1,9 +1,12 @@
 """Byte-pair encoding as a streaming transducer with bounded lookahead, and its decoder.
 
+A text is read in parts. What a part leaves open is held back: characters up to
+the last white space, and within a word of any length the last characters, as
 ``sufficient_lookahead`` bounds how far to the left text that is still unread
-can change the pieces already formed. A piece that ends further than that from
-the end of what was read is stable and is emitted; memory stays constant in the
-length of a word. Words shorter than the lookahead are encoded in one step.
+can change the pieces already formed. The end of a word closes all its pieces,
+further to the left no merge can reach. Everything else is stable and leaves at
+once, so memory is constant in the length of texts and words. The words that
+many texts close at a time are merged side by side as arrays.
 
 Reads the JSON files of the public ``tokenizers`` format with a BPE model, the
 normaliser NFC + white space + lower case, and a word pattern.
@@ -12,21 +15,28 @@ normaliser NFC + white space + lower case, and a word pattern.
 from __future__ import annotations
 
 import codecs
-import gc
+import heapq
 import json
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import regex
 
-#: Bytes of the longest word that is merged beside others of its length.
-VECTOR_WORD = 48
+#: Bytes of the longest words that are merged side by side, in classes of padded width.
+WIDTHS = (4, 6, 8, 10, 12, 16, 24, 48)
+#: Characters of a text that are read at a time.
+READ = 1 << 18
+#: Characters without white space after which a stretch is handed on word by word.
+LONG_STRETCH = 4096
 
 #: White space for Python's split() that the tokenizer's own pattern treats as ordinary.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: An apostrophe that may begin a suffix of one or two letters.
+_SUFFIX = regex.compile(r"(?:^|[\s\p{L}\p{N}]|\|>)'\S{0,2}$")
 
 
 def byte_alphabet() -> list[str]:
@@ -74,6 +84,14 @@ def sufficient_lookahead(merges: Iterable[tuple[str, str]]) -> int | None:
     return best
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The stretches ``at`` of ``flat``, one after the other."""
+    sizes = sizes[at]
+    ends = np.cumsum(sizes)
+    shift = np.repeat(starts[at] - (ends - sizes), sizes)
+    return flat[shift + np.arange(len(shift))]
+
+
 class MergeTable:
     """Ranks and results of pairs of ids, looked up for many pairs at once."""
 
@@ -84,13 +102,10 @@ class MergeTable:
         self.pairs = np.append(pairs, np.uint64((1 << 64) - 1))
         self._bits = max(16, (8 * len(pairs)).bit_length())
         self._slot = np.full((1 << self._bits) + 64, self.none, np.int32)
-        self.probes = 1
         for i, at in enumerate(self._hash(pairs).tolist()):
-            step = 0
-            while self._slot[at + step] != self.none:
-                step += 1
-            self._slot[at + step] = i
-            self.probes = max(self.probes, step + 1)
+            while self._slot[at] != self.none:
+                at += 1
+            self._slot[at] = i
         alphabet = byte_alphabet()
         self.inner = np.array([ids[c] for c in alphabet], np.int32)
         self.last = np.array([ids[c + end] for c in alphabet], np.int32)
@@ -101,55 +116,85 @@ class MergeTable:
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
         at = self._hash(keys)
-        out = np.full(keys.shape, self.none, np.int32)
-        for step in range(self.probes):
-            found = self._slot[at + step]
-            hit = self.pairs[found] == keys
-            out[hit] = found[hit]
+        out = self._slot[at]
+        open_ = np.flatnonzero((self.pairs[out] != keys) & (out != self.none))
+        while len(open_):
+            at[open_] += 1
+            out[open_] = found = self._slot[at[open_]]
+            open_ = open_[(self.pairs[found] != keys[open_]) & (found != self.none)]
         return out
 
-    def encode(self, words: np.ndarray) -> list[tuple[int, ...]]:
-        """Ids of words of one length, given as rows of bytes.
-
-        In each round every word that has a pair left merges its pair of
-        lowest rank, the leftmost of equals, and so gets one symbol shorter.
+    def encode(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, counts) of the words of up to WIDTHS[-1] bytes at ``starts`` of ``data``."""
+        begins, counts = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        out, total, least = [], 0, 0
+        for width in WIDTHS:
+            own = np.flatnonzero((sizes > least) & (sizes <= width))
+            least = width
+            for at in range(0, len(own), 1 << 13):
+                some = own[at : at + (1 << 13)]
+                ids, n = self._side_by_side(data, starts[some], sizes[some], width)
+                begins[some], counts[some] = total + np.cumsum(n) - n, n
+                out.append(ids)
+                total += len(ids)
+        return np.concatenate(out) if out else np.empty(0, np.int32), begins, counts
+
+    def _side_by_side(self, data, starts, sizes, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """In each round every word merges its pair of lowest rank, the leftmost of equals.
+
+        Symbols stay in their places; a merge takes one out of the chain of
+        neighbours. The last column is the neighbour of both ends.
         """
-        now = self.inner[words]
-        now[:, -1] = self.last[words[:, -1]]
-        rows, out = np.arange(len(words)), [()] * len(words)
-        ranks = self.ranks(now[:, :-1], now[:, 1:])
-        while True:
-            if now.shape[1] > 1:
-                at = ranks.argmin(axis=1)
-                low = ranks[np.arange(len(rows)), at]
-                done = low == self.none
-            else:
-                done = np.ones(len(rows), bool)
-            for i, ids in zip(rows[done].tolist(), now[done].tolist(), strict=True):
-                out[i] = tuple(ids)
-            if done.all():
-                return out
-            going = ~done
-            rows, now, ranks, at, low = rows[going], now[going], ranks[going], at[going], low[going]
-            n, size = now.shape
-            line = np.arange(n)
-            now[line, at] = self.result[low]
-            keep = np.ones((n, size), bool)
-            keep[line, at + 1] = False
-            now = now[keep].reshape(n, size - 1)
-            keep = np.ones((n, size - 1), bool)
-            keep[line, at] = False
-            ranks = ranks[keep].reshape(n, size - 2)
-            some = np.flatnonzero(at < size - 2)
-            ranks[some, at[some]] = self.ranks(now[some, at[some]], now[some, at[some] + 1])
-            some = np.flatnonzero(at > 0)
-            ranks[some, at[some] - 1] = self.ranks(now[some, at[some] - 1], now[some, at[some]])
+        n, none, edge = len(starts), self.none, np.int32(-1)
+        line = np.arange(n)
+        place = np.arange(width + 1)
+        inside = place < sizes[:, None]
+        symbol = self.inner[data[np.minimum(starts[:, None] + place, len(data) - 1)]]
+        symbol[line, sizes - 1] = self.last[data[starts + sizes - 1]]
+        symbol[~inside] = edge
+        after = np.broadcast_to(np.minimum(place + 1, width), (n, width + 1)).astype(np.int64)
+        after[line, sizes - 1] = width
+        before = np.broadcast_to(np.where(place > 0, place - 1, width), (n, width + 1)).astype(np.int64)
+        rank = np.full((n, width + 1), none, np.int32)
+        row, col = np.nonzero(inside[:, 1:])
+        rank[row, col] = self.ranks(symbol[row, col], symbol[row, col + 1])
+        alive = inside
+        now = line
+        while len(now):
+            here = rank if len(now) == n else rank[now]
+            i = here.argmin(axis=1)
+            low = here[np.arange(len(now)), i]
+            going = low < none
+            if not going.all():
+                now, i, low = now[going], i[going], low[going]
+                if not len(now):
+                    break
+            j = after[now, i]
+            k, p = after[now, j], before[now, i]
+            symbol[now, i] = made = self.result[low]
+            alive[now, j] = False
+            rank[now, j] = none
+            after[now, i], before[now, k] = k, i
+            right, left = symbol[now, k], symbol[now, p]
+            found = self.ranks(np.concatenate([made, left & 0x7FFFFFFF]), np.concatenate([right & 0x7FFFFFFF, made]))
+            rank[now, i], rank[now, p] = found[: len(now)], found[len(now) :]
+            rank[now, width] = none
+        return symbol[alive], alive.sum(axis=1)
+
+
+class Open:
+    """What is held back of one text: characters, and the window of an open word."""
+
+    def __init__(self):
+        self.raw = ""
+        self.window: list[str] | None = None
+        self.letters = False
 
 
 class Encoder:
-    """Encodes whole texts or streams of them with constant memory."""
+    """Encodes texts as streams with constant memory, many of them at a time."""
 
-    def __init__(self, path: str, memo: int = 120_000):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -160,193 +205,310 @@ class Encoder:
         self.lookahead = sufficient_lookahead(merges)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self._words = regex.compile(pattern)
+        self._words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self._letters, self._others = regex.compile(r"\p{L}*"), regex.compile(r"[^\s\p{L}\p{N}]*")
         self._bytes = byte_alphabet()
         self.pieces = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self._table = MergeTable(self.ids, merges, self.end)
-        self._by_word: dict[str, tuple[int, ...]] = {}
-        self._by_chunk: dict[str, tuple[int, ...]] = {}
-        self._memo = memo
 
     def _merge(self, symbols: list[str]) -> list[str]:
         """Merge the pair of lowest rank, leftmost first, until none is left."""
-        rank, none = self.rank.get, len(self.rank)
-        ranks = [rank(p, none) for p in zip(symbols, symbols[1:])]
-        while ranks and (low := min(ranks)) < none:
-            at = ranks.index(low)
-            symbols[at] += symbols.pop(at + 1)
-            del ranks[at]
-            if at < len(ranks):
-                ranks[at] = rank((symbols[at], symbols[at + 1]), none)
-            if at:
-                ranks[at - 1] = rank((symbols[at - 1], symbols[at]), none)
-        return symbols
+        rank, n = self.rank.get, len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [
+            (r, i, len(a), len(b))
+            for i, (a, b) in enumerate(zip(symbols, symbols[1:]))
+            if (r := rank((a, b))) is not None
+        ]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or len(symbols[i]) != a or len(symbols[j]) != b:
+                continue  # one of the two has been merged meanwhile
+            symbols[i] += symbols[j]
+            symbols[j] = ""
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank((symbols[i], symbols[k]))) is not None:
+                    heapq.heappush(heap, (r, i, len(symbols[i]), len(symbols[k])))
+            if (p := before[i]) >= 0 and (r := rank((symbols[p], symbols[i]))) is not None:
+                heapq.heappush(heap, (r, p, len(symbols[p]), len(symbols[i])))
+        return [s for s in symbols if s]
+
+    def _stable(self, window: list[str], closed: bool) -> list[str]:
+        """Take from the window of a word what unread text cannot change; all of it if ``closed``."""
+        if closed:
+            window[-1] += self.end
+            out = self._merge(window)
+            window.clear()
+            return out
+        out, used, stable = [], 0, len(window) - 1 - (self.lookahead or 0)
+        for piece in self._merge(window[:-1]):  # the last character may yet carry the end mark
+            if used + len(piece) > stable:
+                break
+            out.append(piece)
+            used += len(piece)
+        del window[:used]
+        return out
 
     def word_pieces(self, characters: Iterable[str]) -> Iterator[str]:
         """Pieces of one word, each as soon as it is stable.
 
         ``characters`` are byte characters; the last one carries the end mark.
-        The window holds twice the lookahead and the longest piece, no more.
+        The window holds twice the lookahead and a little more; without a
+        bound on the lookahead it holds the word.
         """
-        reach = self.lookahead
-        limit = None if reach is None else 2 * reach + 64
         window: list[str] = []
         for c in characters:
             window.append(c)
-            if limit is not None and len(window) > limit:
-                stable, used = len(window) - 1 - reach, 0
-                for piece in self._merge(window[:-1]):
-                    if used + len(piece) > stable:
-                        break
-                    yield piece
-                    used += len(piece)
-                del window[:used]
+            if self.lookahead is not None and len(window) > 2 * self.lookahead + 64:
+                yield from self._stable(window, False)
         if window:
-            window[-1] += self.end
-            yield from self._merge(window)
-
-    def _learn_words(self, words: Iterable[str]) -> None:
-        """Add words to the memo: short ones many at a time, long ones as streams."""
-        by_size: dict[int, list[tuple[str, bytes]]] = {}
-        for word in words:
-            data = word.encode("utf-8")
-            if len(data) <= VECTOR_WORD:
-                by_size.setdefault(len(data), []).append((word, data))
-            else:
-                pieces = self.word_pieces(map(self._bytes.__getitem__, data))
-                self._by_word[word] = tuple(map(self.ids.__getitem__, pieces))
-        for size, found in by_size.items():
-            rows = np.frombuffer(b"".join(d for _, d in found), np.uint8).reshape(-1, size)
-            self._by_word.update(zip((w for w, _ in found), self._table.encode(rows), strict=True))
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Add stretches without white space to the memo."""
-        plain, ending, parts = [], [], {}
-        for c in chunks:
-            if c.isalpha():  # letters alone are one word of the pattern
-                plain.append(c)
-            elif c[-1] in ".,;:!?" and c[:-1].isalpha():
-                ending.append(c)
-            else:
-                parts[c] = self._words.findall(c)
-        words = set(chain(plain, [c[:-1] for c in ending], ".,;:!?", chain.from_iterable(parts.values())))
-        self._learn_words(words - self._by_word.keys())
-        by_word, by_chunk = self._by_word, self._by_chunk
-        for c in plain:
-            by_chunk[c] = by_word[c]
-        for c in ending:
-            by_chunk[c] = by_word[c[:-1]] + by_word[c[-1]]
-        for c, p in parts.items():
-            by_chunk[c] = tuple(chain.from_iterable(map(by_word.__getitem__, p)))
+            yield from self._stable(window, True)
 
     @staticmethod
-    def _chunks(text: str) -> list[str]:
-        """The normalised text's stretches without white space."""
+    def _normal(text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
+        return text.lower()
+
+    def _stretches(self, text: str) -> list[str | tuple[int, ...]]:
+        """Stretches of closed text without white space, normalised; special tokens as their ids."""
+        if self._special is not None and "<|" in text:
+            out = []
+            for part in self._special.split(text):
+                out += [(self.special[part],)] if part in self.special else self._split(part)
+            return out
+        return self._split(text)
+
+    def _split(self, text: str) -> list[str]:
+        text = self._normal(text)
         return [c for c in regex.split(r"\s+", text) if c] if _ODD_SPACE.search(text) else text.split()
 
-    def encode_many(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of whole texts; null counts as empty.
+    def _take(self, state: Open, text: str, last: bool) -> list[str | tuple[int, ...]]:
+        """The next part of a text: stretches and ids that are stable now."""
+        if last and not state.raw and state.window is None:
+            return self._stretches(text)
+        out: list[str | tuple[int, ...]] = []
+        text = state.raw + text
+        if last:
+            state.raw = ""
+            return self._closed(state, text, out)
+        at = max(map(text.rfind, " \n\t")) + 1
+        head, state.raw = text[:at], text[at:]
+        if head:
+            self._closed(state, head, out)
+        if len(state.raw) > LONG_STRETCH:
+            cut = self._safe_cut(state.raw)
+            self._open(state, state.raw[:cut], out)
+            state.raw = state.raw[cut:]
+        return out
+
+    def _closed(self, state: Open, text: str, out: list) -> list:
+        """Text after which no word is open."""
+        if state.window is not None:
+            text = self._normal_rest(state, text, out, True)
+        out += self._stretches(text)
+        return out
+
+    def _safe_cut(self, raw: str) -> int:
+        """A place near the end where the text can be cut.
 
-        What the texts have in common is encoded once. The memo is emptied
-        when it is full, so memory is bounded by its size and these texts. No
-        cycles arise here, so the collector does not search for them meanwhile.
+        Normalisation does not reach across it, nor does a special token, nor
+        a suffix after an apostrophe.
         """
-        searching = gc.isenabled()
-        gc.disable()
-        try:
-            return self._encode_many(texts)
-        finally:
-            if searching:
-                gc.enable()
-
-    def _encode_many(self, texts: list[str | None]) -> list[list[int]]:
-        if len(self._by_chunk) > self._memo:
-            self._by_chunk.clear()
-        if len(self._by_word) > self._memo:
-            self._by_word.clear()
-        split: list[list[list[str] | int]] = []
-        for text in texts:
-            if text and self._special is not None and "<|" in text:
-                parts = self._special.split(text)
-                split.append([self.special[p] if p in self.special else self._chunks(p) for p in parts])
+        at = len(raw) - 32
+        while at > 8:
+            c, ahead = raw[at], raw[at - 8 : at]
+            met = [p for t in self.special if (p := raw.find(t, max(0, at - len(t) + 1), at + len(t) - 1)) >= 0]
+            if met:
+                at = met[0]
+                continue
+            if not _SUFFIX.search(ahead) and (
+                c.isascii()
+                or not unicodedata.combining(c)
+                and unicodedata.normalize("NFC", ahead + c) == unicodedata.normalize("NFC", ahead) + unicodedata.normalize("NFC", c)
+            ):
+                return at
+            at -= 1
+        return 0
+
+    def _normal_rest(self, state: Open, text: str, out: list, closed: bool) -> str:
+        """Feed the start of ``text`` that belongs to the open word to it; the rest of the text."""
+        special = self._special.search(text) if self._special is not None and "<|" in text else None
+        ahead, rest = (text[: special.start()], text[special.start() :]) if special else (text, "")
+        ahead = self._normal(ahead)
+        run = (self._letters if state.letters else self._others).match(ahead).end()
+        state.window += map(self._bytes.__getitem__, ahead[:run].encode("utf-8"))
+        if run < len(ahead) or rest or closed:
+            out.append(tuple(map(self.ids.__getitem__, self._stable(state.window, True))))
+            state.window = None
+        else:
+            self._press(state, out)
+        return ahead[run:] + rest
+
+    def _press(self, state: Open, out: list) -> None:
+        if self.lookahead is not None and len(state.window) > 2 * self.lookahead + 64:
+            out.append(tuple(map(self.ids.__getitem__, self._stable(state.window, False))))
+
+    def _open(self, state: Open, text: str, out: list) -> None:
+        """Part of a stretch without white space: all words leave but the last, which stays open."""
+        if state.window is not None:
+            text = self._normal_rest(state, text, out, False)
+            if state.window is not None:
+                return
+        parts = self._special.split(text) if self._special is not None else [text]
+        for part in parts[:-1]:
+            out += [(self.special[part],)] if part in self.special else self._split(part)
+        words = self._words.findall(self._normal(parts[-1]))
+        if not words:
+            return
+        out += words[:-1]
+        if not self._continues(words[-1]):
+            out.append(words[-1])
+            return
+        state.letters = bool(self._letters.fullmatch(words[-1]))
+        state.window = list(map(self._bytes.__getitem__, words[-1].encode("utf-8")))
+        self._press(state, out)
+
+    def _continues(self, word: str) -> bool:
+        return bool(self._letters.fullmatch(word) or self._others.fullmatch(word))
+
+    def feed(self, parts: list[tuple[Open, str | None, bool]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids that become stable with the next part of each of several texts: all ids, and how many each text gives.
+
+        ``parts`` are (state, text, last). What the texts have in common is encoded once.
+        """
+        rows = [self._take(state, text or "", last) for state, text, last in parts]
+        codes: dict[str | tuple[int, ...], int] = defaultdict(count().__next__)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        at = np.fromiter(map(codes.__getitem__, chain.from_iterable(rows)), np.int64, int(sizes.sum()))
+        flat, starts, counts = self._stretch_ids(list(codes))
+        ends = np.concatenate([[0], np.cumsum(counts[at])])
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        return gather(flat, starts, counts, at), np.diff(ends[edges])
+
+    def _stretch_ids(self, stretches: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, counts) of stretches."""
+        code: dict[str | tuple[int, ...], int] = defaultdict(count().__next__)
+        words, sizes = [], []
+        for s in stretches:
+            if type(s) is tuple or s.isalpha():  # letters alone are one word of the pattern
+                words.append(code[s])
+                sizes.append(1)
+            elif s[-1] in ".,;:!?" and s[:-1].isalpha():
+                words += (code[s[:-1]], code[s[-1]])
+                sizes.append(2)
+            else:
+                found = self._words.findall(s)
+                words += map(code.__getitem__, found)
+                sizes.append(len(found))
+        flat, starts, counts = self._word_ids(list(code))
+        words, sizes = np.array(words, np.int64), np.array(sizes, np.int64)
+        ends = np.concatenate([[0], np.cumsum(counts[words])])
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        return gather(flat, starts, counts, words), ends[edges[:-1]], np.diff(ends[edges])
+
+    def _word_ids(self, words: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, counts) of words: short ones side by side, long ones as streams; ids stay as they are."""
+        data = [w.encode("utf-8") if type(w) is str else b"" for w in words]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        joined = np.frombuffer(b"".join(data), np.uint8)
+        begin = np.cumsum(sizes) - sizes
+        short = np.where(sizes > WIDTHS[-1], 0, sizes)
+        flat, starts, counts = self._table.encode(joined, begin, short)
+        more, total = [flat], len(flat)
+        for i in np.flatnonzero(short == 0).tolist():
+            if type(words[i]) is tuple:
+                ids = words[i]
             else:
-                split.append([self._chunks(text or "")])
-        fresh: set[str] = set()
-        for part in chain.from_iterable(split):
-            if not isinstance(part, int):
-                fresh.update(part)
-        self._learn(fresh - self._by_chunk.keys())
-        ids, known = [], self._by_chunk.__getitem__
-        for parts in split:
-            out: list[int] = []
-            for part in parts:
-                if isinstance(part, int):
-                    out.append(part)
-                else:
-                    out.extend(chain.from_iterable(map(known, part)))
-            ids.append(out)
-        return ids
-
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of one whole text."""
-        return self.encode_many([text])[0]
+                ids = tuple(map(self.ids.__getitem__, self.word_pieces(map(self._bytes.__getitem__, data[i]))))
+            starts[i], counts[i] = total, len(ids)
+            more.append(np.array(ids, np.int32))
+            total += len(ids)
+        return np.concatenate(more).astype(np.int32), starts, counts
 
+    def encode(self, text: str | None, read: int = READ) -> list[int]:
+        """Ids of one whole text, read ``read`` characters at a time."""
+        return list(chain.from_iterable(ids.tolist() for _, ids, _ in self.streams([text], read=read)))
 
-class Decoder:
-    """Ids back to text, piece by piece.
+    def streams(self, texts: list[str | None], read: int = READ, most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """(index of the text, its next ids, whether they are its last ones); null counts as empty.
 
-    ``join`` gives what the file's own rule gives when it names no decoder:
-    the pieces with a blank between. ``stream`` turns byte characters back into
-    bytes and emits text as soon as a UTF-8 sequence is complete; its state is
-    at most three bytes.
+        Texts come in order; parts of about ``most`` characters in all are encoded together.
+        """
+        batch: list[tuple[int, Open, str, bool]] = []
+        size = 0
+
+        def run():
+            ids, counts = self.feed([part[1:] for part in batch])
+            ends = np.cumsum(counts)
+            for (i, _, _, last), n, end in zip(batch, counts.tolist(), ends.tolist(), strict=True):
+                yield i, ids[end - n : end], last
+
+        for i, text in enumerate(texts):
+            text, state = text or "", Open()
+            for at in range(0, max(1, len(text)), read):
+                last = at + read >= len(text)
+                batch.append((i, state, text[at : at + read], last))
+                size += min(read, len(text) - at)
+                if size >= most:
+                    yield from run()
+                    batch, size = [], 0
+        if batch:
+            yield from run()
+
+
+class Decoding:
+    """Incremental decoder of one sequence of ids: a byte-to-text state machine.
+
+    The state is what is left of an unfinished UTF-8 sequence (three bytes at
+    most) and whether a blank is due. As the file decodes when it names no
+    decoder, pieces are text and stand with a blank between; ``readable``
+    turns byte characters back into bytes and sets a blank after each word.
     """
 
-    def __init__(self, encoder: Encoder):
-        size = max(encoder.pieces) + 1
-        self.pieces = [encoder.pieces.get(i, "") for i in range(size)]
-        self.encoded = [p.encode("utf-8") for p in self.pieces]
-        self.end = encoder.end
-        self._byte = {c: b for b, c in enumerate(encoder._bytes)}
-
-    def join(self, ids: Iterable[int]) -> bytes:
-        """UTF-8 bytes of the pieces joined by blanks."""
-        return b" ".join(map(self.encoded.__getitem__, ids))
-
-    def stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text of the words, a blank after each, emitted as it becomes complete."""
-        state = codecs.getincrementaldecoder("utf-8")("replace")
+    def __init__(self, decoder: Decoder, readable: bool = False):
+        self._decoder, self._readable, self._due = decoder, readable, False
+        self._state = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: Iterable[int], last: bool = False) -> str:
+        """Text that the next ids complete."""
+        if not self._readable:
+            data = b" ".join(map(self._decoder.encoded.__getitem__, ids))
+            if self._due and data:
+                data = b" " + data
+            self._due = self._due or bool(data)
+            return self._state.decode(data, last)
+        out = []
         for i in ids:
-            piece = self.pieces[i]
-            closes = bool(self.end) and piece.endswith(self.end)
+            data, closes = self._decoder.plain[i]
+            out.append(self._state.decode(data, closes))
             if closes:
-                piece = piece[: -len(self.end)]
-            text = state.decode(bytes(self._byte[c] for c in piece))
-            if closes:
-                text += state.decode(b"", final=True) + " "
-                state.reset()
-            if text:
-                yield text
-        if rest := state.decode(b"", final=True):
-            yield rest
+                out.append(" ")
+        if last:
+            out.append(self._state.decode(b"", True))
+        return "".join(out)
 
 
-_KEPT: dict[str, tuple[Encoder, Decoder]] = {}
+class Decoder:
+    """The pieces of a vocabulary as bytes, for ``Decoding``."""
+
+    def __init__(self, encoder: Encoder):
+        pieces = [encoder.pieces.get(i, "") for i in range(max(encoder.pieces) + 1)]
+        self.pieces = pieces
+        self.encoded = [p.encode("utf-8") for p in pieces]
+        byte, end = {c: b for b, c in enumerate(encoder._bytes)}, encoder.end
+        self.plain = []
+        for p in pieces:
+            closes = bool(end) and p.endswith(end)
+            p = p[: -len(end)] if closes else p
+            self.plain.append((bytes(byte[c] for c in p if c in byte), closes))
 
 
-def portions(texts: list[str | None], most: int = 1_500_000) -> Iterator[slice]:
-    """Slices of ``texts`` of about ``most`` characters each, one text at least."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= most:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+_KEPT: dict[str, tuple[Encoder, Decoder]] = {}
 
 
 def kept(path: str) -> tuple[Encoder, Decoder]:

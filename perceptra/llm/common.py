@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from perceptra.storage import materialise, shared_dir
 
-__all__ = ["arrow_rows", "materialise", "shared_dir", "small", "table"]
+__all__ = ["arrow_rows", "by_size", "materialise", "shared_dir", "small", "table"]
+
 
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
@@ -29,5 +32,28 @@ def small(batches, rows: int = 1000):
             yield batch.slice(at, rows)
 
 
+def by_size(batches, most: int = 8 << 20):
+    """The Arrow batches in slices of about ``most`` bytes, one row at least, with no empty slice."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = sum(np.diff(_offsets(c)) for c in batch.columns if _is_long(c.type))
+        ends = np.cumsum(np.broadcast_to(sizes, batch.num_rows))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _is_long(kind: pa.DataType) -> bool:
+    return pa.types.is_string(kind) or pa.types.is_binary(kind)
+
+
+def _offsets(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perceptra.llm import bpe
-from perceptra.llm.common import materialise, small
+from perceptra.llm.common import by_size, materialise
 
 
 def best_fit(
@@ -65,21 +65,23 @@ def best_fit(
 def pieces(docs: DataFrame, tokenizer: str, tokens: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and ``end_id``, cut at ``tokens``."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
         encoder, _ = bpe.kept(tokenizer)
-        for batch in small(batches):
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in bpe.portions(texts):
-                rows = []
-                for doc, ids in zip(doc_ids[part], encoder.encode_many(texts[part]), strict=True):
-                    raw = np.array([*ids, end_id], "<u4")
-                    for n, at in enumerate(range(0, len(raw), tokens)):
-                        cut = raw[at : at + tokens]
-                        rows.append((doc, n, at, len(cut), zlib.crc32(cut.tobytes())))
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        for batch in by_size(batches):
+            rows, held, n = [], np.empty(0, np.int32), 0
+            for i, ids, last in encoder.streams(batch.column(1).to_pylist()):
+                held = np.concatenate([held, ids, [end_id]] if last else [held, ids]).astype("<u4")
+                while len(held) >= tokens or (last and len(held)):
+                    cut, held = held[:tokens], held[tokens:]
+                    rows.append((i, n, n * tokens, len(cut), zlib.crc32(cut)))
+                    n += 1
+                if last:
+                    n = 0
+            at, *columns = zip(*rows, strict=True)
+            columns = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -292,9 +293,12 @@ def test_codec_matches_the_library(spark):
     parts = ["a", "th", "in", "é", "Σ", "İ", "\x1c", " ", "\n", "<|endoftext|>", "<|", "'s", "1", "½", "!!", "😀", "한", "́", "_", "\x00", "ſ"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(2000)] + ["", "ab" * 3000 + " " + "lol" * 900]
     encoder, decoder = bpe.kept(queries.tokenizer())
-    for text, ids in zip(texts, encoder.encode_many(texts), strict=True):
+    found = [[] for _ in texts]
+    for i, ids, _ in encoder.streams(texts):
+        found[i] += ids.tolist()
+    for text, ids in zip(texts, found, strict=True):
         assert ids == library.encode(text, add_special_tokens=False).ids, repr(text)
-        assert decoder.join(ids).decode() == library.decode(ids, skip_special_tokens=False)
+        assert bpe.Decoding(decoder).feed(ids, True) == library.decode(ids, skip_special_tokens=False)
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     row = codec.round_trip(docs_of(spark, ["Hello, world"]), queries.tokenizer()).first()
     ids = library.encode("Hello, world", add_special_tokens=False).ids
@@ -303,6 +307,47 @@ def test_codec_matches_the_library(spark):
     assert readable.first().text == "héllo 😀 world "
 
 
+@pytest.mark.parametrize("read", [1, 3, 7, 40])
+def test_any_cut_of_the_input_gives_the_same_ids(read, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "LONG_STRETCH", 20)
+    library = Tokenizer.from_file(queries.tokenizer())
+    encoder, decoder = bpe.kept(queries.tokenizer())
+    rng = random.Random(read)
+    parts = ["a", "th", "in", "é", "Σ", "İ", "\x1c", " ", "\n", "<|endoftext|>", "<|", "'s", "'", "re", "1", "½", "!!", "😀", "한", "́", "_", "\x00", "ſ", "ᄒ", "ᅡ", "ᆫ"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(80)))
+        ids = encoder.encode(text, read)
+        assert ids == library.encode(text, add_special_tokens=False).ids, repr(text)
+        for readable in (False, True):
+            state = bpe.Decoding(decoder, readable)
+            steps = [state.feed(ids[i : i + 3]) for i in range(0, len(ids), 3)] + [state.feed([], True)]
+            assert "".join(steps) == bpe.Decoding(decoder, readable).feed(ids, True)
+
+
+def test_words_and_texts_of_any_length_take_constant_memory():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer())
+    encoder, _ = bpe.kept(queries.tokenizer())
+    for text in ("ab" * 20_000 + " " + "lol" * 3_000, "x" * 5_000 + "<|endoftext|>" + "y!" * 7_000, "!?" * 6_000, "한국어" * 5_000):
+        assert encoder.encode(text, 3_000) == encoder.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+    def peak(text):
+        tracemalloc.start()
+        n = sum(len(ids) for _, ids, _ in encoder.streams([text], read=1 << 16, most=1 << 17))
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, top
+
+    n, small = peak("the quick brown fox " * 20_000)
+    many, large = peak("the quick brown fox " * 500_000)
+    assert many == 25 * n and large < 1.5 * small
+    _, word = peak("ab" * 200_000)
+    assert word < 1.5 * small
+
+
 def test_lookahead_bounds_what_can_change():
     merges = [("a", "b"), ("b", "a"), ("ab", "a"), ("aba", "ba")]
     reach = bpe.sufficient_lookahead(merges)
