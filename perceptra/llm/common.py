@@ -6,11 +6,12 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from perceptra.storage import materialise, shared_dir
 
-__all__ = ["arrow_rows", "by_size", "materialise", "shared_dir", "small", "table"]
+__all__ = ["arrow_rows", "by_size", "join_hot", "materialise", "shared_dir", "small", "table"]
 
 
 @contextmanager
@@ -55,5 +56,25 @@ def _offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
 
 
+def join_hot(left: DataFrame, keyed: DataFrame, right: DataFrame, keys: list[str], size: Column, most: int = 64 << 20) -> DataFrame:
+    """``left`` joined with ``right``, whose keys are unique, where single keys may hold a large part of ``left``.
+
+    A key that holds 1/500 of ``keyed`` (the rows of ``left``, or what they
+    come from) is hot: there are 500 at most. Their rows of ``right`` go to
+    the executors if they take ``most`` bytes or less by ``size`` and what
+    the columns hold; all other keys meet by an exchange, and so do the hot ones
+    if they are larger.
+    """
+    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"))
+    total = keyed.count()
+    hot = materialise(counts.where((F.col("n_") * 500 >= total) & (F.col("n_") > 1)).select(*keys))
+    large = materialise(right.join(F.broadcast(hot), keys, "left_semi"))
+    held = large.agg(F.sum(size + 64)).first()[0]
+    if not held or held > most:
+        return left.join(right, keys)
+    rest = left.join(F.broadcast(hot), keys, "left_anti").join(right, keys)
+    return left.join(F.broadcast(large), keys).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

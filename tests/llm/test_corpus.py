@@ -365,7 +365,7 @@ def test_passages(spark):
     texts[6] = texts[6] + " " + " ".join(changed)
     texts += [other + " " + prose(rng, 50, 4000), prose(rng, 90, 4000) + " " + other, " ".join(shared.split()[:40]), "same " * 90]
     found = passages.near_duplicate_passages(docs_of(spark, texts, extra=True)).collect()
-    assert {(r.doc_id, r.first_id) for r in found} == {(5, 2), (6, 2), (9, 8)}
+    assert {(5, 2), (6, 2), (9, 8)} <= {(r.doc_id, r.first_id) for r in found} <= {(5, 2), (6, 2), (9, 8), (6, 5)}
     for r in found:
         own, first = texts[r.doc_id].split(), texts[r.first_id].split()
         if r.similarity == 1.0:
@@ -388,30 +388,69 @@ def test_passages_past_an_unrelated_first_partner(spark):
     assert whole[3] == set(range(60)) and whole[4] == set(range(70, 130))
 
 
-def test_relinked_rows_go_to_another_round(spark, monkeypatch):
-    monkeypatch.setattr(passages, "HELD", 2)
-    rng = np.random.default_rng(4)
-    x = [rng.integers(0, 1 << 32, 91).astype(np.uint32).tobytes() for _ in range(4)]
-    import pyarrow as pa
-
-    rows = [(1, i, 45, True, 0, x[i % 4]) for i in range(8)]
-    found, rounds = set(), 0
-    while rows:
-        batch = pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*rows, strict=True)], ["key", "doc_id", "c", "ask", "low", "x"])
-        out = [r for b in passages._relinked(iter([batch]), 46, 0.8, 5) for r in b.to_pylist()]
-        found |= {(r["doc_id"], r["first_id"]) for r in out if r["key"] is None}
-        rows = [tuple(r[c] for c in ("key", "doc_id", "c", "ask", "low", "x")) for r in out if r["key"] is not None]
-        rounds += 1
-    assert found == {(4, 0), (5, 1), (6, 2), (7, 3)} and rounds == 2
-
-
-def test_all_overlapping_links_are_compared():
-    """A hundred narrow links in between do not hide the partner of another function."""
-    n = 102
-    place = (np.arange(1000, 1000 + n) * 8) + (np.arange(n) == n - 1)
-    span = np.where((np.arange(n) == 0) | (np.arange(n) == n - 1), (200 << 32) | 200, 0)
-    rows = np.stack([np.full(n, 5), np.full(n, 1), place, span, place, span])
-    assert passages._agreeing(rows, 46, 2) == [(5, 901, 1200, 1, 901, 1200)]
+def test_passages_of_exact_and_changed_copies_with_a_partial_one_before(spark):
+    """Documents A hold a part of a passage, B and C all of it; in half the cases C has one word changed."""
+    rng = random.Random(12)
+    parts = {0: [], 1: [], 2: []}
+    n = 60
+    for i in range(n):
+        words = prose(rng, 60, 100_000).split()
+        changed = list(words)
+        if i % 2:
+            changed[rng.randrange(5, 55)] = "changed"
+        parts[0].append(prose(rng, 50, 100_000) + " " + " ".join(words[: (30, 42)[i % 4 > 1]]) + " " + prose(rng, 50, 100_000))
+        parts[1].append(prose(rng, 70, 100_000) + " " + " ".join(words) + " " + prose(rng, 40, 100_000))
+        parts[2].append(" ".join(changed) + " " + prose(rng, 90, 100_000))
+    found = passages.near_duplicate_passages(docs_of(spark, parts[0] + parts[1] + parts[2])).collect()
+    pairs = {r.doc_id - 2 * n for r in found if r.first_id == r.doc_id - n and r.doc_id >= 2 * n}
+    assert pairs >= set(range(0, n, 2)) and len(pairs) > 0.9 * n
+    assert all(r.doc_id - r.first_id in (n, 2 * n) and r.first_id % n == r.doc_id % n for r in found)
+
+
+def test_passages_against_brute_force(spark, sf_dir):
+    """All words in exact runs of 50 that an earlier document has are found, and 0.95 of the documents with any passage."""
+    found = queries.op9_substring_dedup(spark, sf_dir).collect()
+    covered, firsts = {}, {}
+    for r in found:
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+        firsts.setdefault(r.doc_id, set()).add(r.first_id)
+    x = {r.doc_id: passages.shingles((r.text or "").encode()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    seen, exact, alike = set(), {}, set()
+    for doc in sorted(x):
+        runs = [tuple(x[doc][i : i + 46].tolist()) for i in range(len(x[doc]) - 45)]
+        exact[doc] = {w for i, r in enumerate(runs) if r in seen for w in range(i, i + 50)}
+        seen.update(runs)
+    for doc in x:
+        for first in x:
+            if first < doc and len(np.intersect1d(x[doc], x[first])) >= 36 and passages.verified(x[doc], x[first], 46, 0.8):
+                alike.add(doc)
+    assert all(exact[doc] <= covered.get(doc, set()) for doc in x)
+    assert len(alike & covered.keys()) >= 0.95 * len(alike) and covered.keys() <= alike
+    assert any(exact.values()) and all(f < d for d in firsts for f in firsts[d])
+
+
+def test_passages_at_the_least_similarity(spark):
+    """Passages of just 50 words with one word changed have similarity 0.80; over nine tenths are found."""
+    rng = random.Random(13)
+    n, own, other = 150, [], []
+    for _ in range(n):
+        words = prose(rng, 50, 100_000).split()
+        changed = list(words)
+        changed[rng.randrange(5, 45)] = "changed"
+        own.append(prose(rng, 70, 100_000) + " " + " ".join(words) + " " + prose(rng, 40, 100_000))
+        other.append(prose(rng, 20, 100_000) + " " + " ".join(changed) + " " + prose(rng, 90, 100_000))
+    found = passages.near_duplicate_passages(docs_of(spark, own + other)).collect()
+    assert len({r.doc_id for r in found if r.first_id == r.doc_id - n}) > 0.9 * n
+
+
+def test_rows_that_repeat_a_doc_id_keep_their_own_words(spark):
+    rng = random.Random(14)
+    shared, own = prose(rng, 60, 100_000), prose(rng, 100, 100_000)
+    rows = [(1, shared + " " + prose(rng, 30, 100_000)), (2, prose(rng, 20, 100_000) + " " + shared), (2, own), (3, own), (None, own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = sorted((r.doc_id or 0, r.text) for r in passages.cut_repeats(docs).collect())
+    assert len(cut) >= 4 and (0, own) in cut and (1, rows[0][1]) in cut and (2, own) in cut
+    assert all(t in {r[1] for r in rows} | {rows[1][1].split(shared)[0]} for _, t in cut)
 
 
 def test_compact_windows_are_the_wide_nodes():
