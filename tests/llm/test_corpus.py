@@ -70,6 +70,8 @@ def operators(spark):
     return {
         "simhash": lambda d: simhash.near_duplicates(d),
         "keep_one": simhash.keep_one,
+        "similar": simhash.similar_documents,
+        "keep_similar": simhash.keep_one_similar,
         "divergence": divergence.quality_rules,
         "packing": lambda d: packing.pack(d, path),
         "licences": licences.scan,
@@ -87,7 +89,7 @@ def operators(spark):
 ROWS = {"simhash": 11, "divergence": 11, "classify": 11, "shards": 11, "codec": 11, "secrets": 11, "redact": 11}
 
 
-@pytest.mark.parametrize("name", ["simhash", "keep_one", "divergence", "packing", "licences", "classify", "shards", "codec", "passages", "cut", "secrets", "redact"])
+@pytest.mark.parametrize("name", ["simhash", "keep_one", "similar", "keep_similar", "divergence", "packing", "licences", "classify", "shards", "codec", "passages", "cut", "secrets", "redact"])
 def test_odd_and_empty_tables(spark, odd, none, name):
     run = operators(spark)[name]
     found = run(odd).collect()
@@ -146,12 +148,58 @@ def test_simhash_components(spark):
     assert kept == {i for i in range(len(texts)) if find(i) == i}
 
 
-def test_crowded_posting_lists_across_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("block", [8, 16, 2048])
+def test_crowded_posting_lists_across_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    values = [sum(1 << b for b in range(12) if i >> b & 1) for i in range(300)] + [(1 << 63) + 5, 1 << 40]
+    df = spark.createDataFrame([(v.to_bytes(8, "big"),) for v in values], "fp binary")
+    found = connected_components(simhash.links(df, simhash.exact_scheme(4))).collect()
+    assert {bytes(r.component) for r in found} == {bytes(8)} and len(found) == 302
+
+
+def similarity(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in (a, b))
+    return len(a & b) / max(1, len(a | b))
+
+
+def test_similar_documents_against_brute_force(spark):
+    """Groups by shingle similarity 0.8: never a link below it, nearly all at and above it; one of each group stays."""
+    rng = random.Random(3)
+    base = [prose(rng, rng.choice([4, 30, 80, 200]), 5000) for _ in range(150)]
+    texts = list(base)
+    for t in base:
+        words = t.split()
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = ["new"]
+        texts.append(" ".join(words))
+    texts += ["", None, "One two three", "one TWO three", "one two four"]
+    group = list(range(len(texts)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    pairs = {(j, i) for i in range(len(texts)) for j in range(i) if similarity(texts[i] or "", texts[j] or "") >= 0.8 or texts[i] in ("", None) and texts[j] in ("", None)}
+    for j, i in pairs:
+        a, b = sorted((find(i), find(j)))
+        group[b] = a
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, texts, extra=True)).collect()}
+    assert all(find(i) == find(c) for i, c in found.items())
+    assert sum(found[i] == found[j] for i, j in pairs) >= 0.97 * len(pairs)
+    kept = sorted(r.doc_id for r in simhash.keep_one_similar(docs_of(spark, texts, extra=True)).collect())
+    assert kept == sorted(set(found.values()))
+
+
+def test_crowded_lists_of_similar_documents(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
-    values = [sum(1 << b for b in range(12) if i >> b & 1) for i in range(300)]
-    df = spark.createDataFrame([(v,) for v in values], "fp long")
-    found = connected_components(simhash.links(df, 4)).collect()
-    assert {r.component for r in found} == {0} and len(found) == 300
+    rng = random.Random(5)
+    near = prose(rng, 300, 100_000)
+    texts = [near.replace(f"w{w} ", f"v{w} ", 1) for w in {int(x[1:]) for x in near.split()}] + [prose(rng, 100, 100_000) for _ in range(40)]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, texts)).collect()}
+    n = len(texts) - 40
+    assert all(found[i] == (0 if i < n else i) for i in range(len(texts)))
 
 
 def test_divergence_base_rules(spark, sf_dir):
