@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,21 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 
+#: Labelled samples of ordinary identifiers: parts that paths, addresses and names in code are joined of.
+ORDINARY = """
+https www example com org net edu gov docs guide getting started index html home page about contact login search
+apache commons lang java util string list map array buffer reader writer stream file path name value key type class
+project service user repository impl controller manager factory builder handler provider config configuration settings
+python lib local share bin etc var usr src main test resources target build dist static public assets images styles
+node modules react dom development production package version release final report quarterly annual monthly summary
+max min count size limit timeout connection seconds request response client server session context thread process
+get set add remove update delete create find select insert element elements document window event listener callback
+data base table column row record field query result message error exception warning debug info level status state
+international electronic graphic photograph government department administration information understanding education
+physical chemical biological mathematical philosophical psychological technology development environment management
+"""
+_UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
+
 _N = len(ALPHABET)
 _INDEX = np.full(256, _N, np.int64)
 _INDEX[list(ALPHABET)] = np.arange(_N)
@@ -89,14 +105,23 @@ class RandomnessModel:
         return float(self.ratio[at[:-1], at[1:]].mean())
 
 
+def _ordinary_transitions() -> np.ndarray:
+    """Counts over the samples, joined as paths, addresses and names are, in every usual case."""
+    parts = ORDINARY.split()
+    texts = [mark.join(parts) for mark in "/._-"] + ["_".join(parts).upper(), "".join(w.capitalize() for w in parts), " ".join(parts)]
+    texts += ["-".join(f"{y}-{m:02d}-{d:02d}" for y in range(1990, 2030) for m, d in ((1, 15), (11, 30), (7, 4)))]
+    return sum(_transitions(t.encode()) for t in texts)
+
+
 def train(docs: DataFrame, prior: float = 5.0) -> RandomnessModel:
     """Count transitions over every whole text and smooth them.
 
     Each task adds its counts up per batch, and Spark sums them by transition:
     the driver gets at most 2 * 68 * 68 sums. The random model is smoothed
     towards even transitions over letters and digits by ``prior`` for each,
-    which is all it knows when the corpus holds no secret; the identifier
-    model starts from the same prior.
+    which is all it knows when the corpus holds no secret; the text model
+    starts from the same prior. An identifier is as likely as the mean of the
+    text model and that of the samples ``ORDINARY`` says.
     """
 
     def counts(batches):
@@ -131,6 +156,8 @@ def train(docs: DataFrame, prior: float = 5.0) -> RandomnessModel:
     even[62:] = 0.25
     n = n.reshape(2, _N, _N) + prior * even[None, None, :]
     n = n / n.sum(axis=2, keepdims=True)
+    known = _ordinary_transitions() + 0.2 * even[None, :]
+    n[0] = (n[0] + known / known.sum(axis=1, keepdims=True)) / 2
     return RandomnessModel(np.log(n[1]) - np.log(n[0]))
 
 
@@ -160,12 +187,13 @@ def random_stretches(text: str, spans: list[tuple[int, int, str]], model: Random
     for each of 19 transitions (20 characters), more for shorter stretches by
     the square of 20 over their length and for longer runs by the logarithm of
     theirs, as they offer more stretches. Transitions at the marks ``_.=-``
-    that join words never count for randomness. What is left of a run is searched again.
+    that join words, and of a character to itself, never count for randomness,
+    and identifiers of the form of a UUID are left out. What is left of a run is searched again.
     """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     at = _INDEX[np.minimum(codes, 255)]
     at[codes > 255] = _N
-    for a, b, _ in spans:
+    for a, b in chain(((a, b) for a, b, _ in spans), (m.span() for m in _UUID.finditer(text)) if "-" in text else ()):
         at[a:b] = _N
     inside = at < _N
     edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
@@ -175,6 +203,7 @@ def random_stretches(text: str, spans: list[tuple[int, int, str]], model: Random
     ratio[:-1][pairs] = model.ratio[at[:-1][pairs], at[1:][pairs]]
     marks = np.isin(at, _MARKS)
     marks[:-1] |= marks[1:]
+    marks[:-1] |= at[:-1] == at[1:]
     ratio[marks] = np.minimum(ratio[marks], 0)
     gain = np.concatenate([[0], np.cumsum(np.maximum(ratio, 0))])
     least, out = threshold * 19, []

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -554,6 +555,38 @@ def test_secrets_of_letters_in_paths_and_beside_fixed_patterns(spark):
     assert clean[5].startswith(f"use {path[:40]}")
 
 
+def test_recall_on_random_strings_and_precision_on_identifiers(spark):
+    """Trained on a given table; none of the identifiers below is among the samples."""
+    model = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rng = random.Random(1)
+    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    found = lambda text: secrets.random_stretches(text, secrets.base_spans(text), model, 0.5)
+    for alphabet in (lower + lower.upper() + digits, lower + lower.upper(), lower + digits):
+        for length, least in ((20, 0.88), (24, 0.95), (32, 0.97)):
+            runs = ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(300)]
+            assert sum(bool(found(f"use {r} now")) for r in runs) >= least * len(runs)
+    names = """kubernetes-dashboard-service-account org.springframework.boot.autoconfigure ReadOnlyMemoryBufferTooSmallException
+    get_user_profile_by_username /home/ubuntu/workspace/pipeline/jenkins opt/conda/envs/pytorch/lib InvalidArgumentException
+    counterrevolutionaries Donaudampfschifffahrtsgesellschaft en.wikipedia.org/wiki/Special:Random UPPER_CASE_CONSTANT_NAME
+    github.com/tensorflow/tensorflow/blob/master/README.md utf8_general_ci_collation backgroundColorAttribute
+    550e8400-e29b-41d4-a716-446655440000 antidisestablishmentarianism 2023-11-05-release-notes-v2.3.1 2024-01-15T10:30:00.000
+    0123456789012345678901234 ======================== AAAAAAAAAAAAAAAAAAAAAAAAAA 192.168.100.200/24-gateway""".split()
+    assert [n for n in names if found(f"see {n} ok")] == []
+
+
+def test_scan_takes_linear_time(spark):
+    model = secrets.train(docs_of(spark, ["plain words " * 500]))
+    rng = random.Random(2)
+    some = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    part = " ".join(f"token={''.join(rng.choice(some) for _ in range(24))} and {''.join(rng.choice(some) for _ in range(30))}" for _ in range(1000))
+    times = []
+    for n in (1, 8):
+        began = time.process_time()
+        assert len(secrets.all_spans(" ".join([part] * n), model)) >= 1900 * n
+        times.append(time.process_time() - began)
+    assert times[1] < 16 * times[0] + 0.1
+
+
 def test_pipeline(spark, sf_dir):
     columns = spark.read.parquet(f"{sf_dir}/documents.parquet").columns
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
