@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perceptra.storage import discard, materialise, shared_dir
+from perceptra.storage import discard, materialise, scratch, shared_dir
 
-__all__ = ["arrow_rows", "by_size", "discard", "join_hot", "materialise", "shared_dir", "small", "table"]
+__all__ = ["arrow_rows", "by_size", "discard", "join_hot", "materialise", "scratch", "shared_dir", "small", "table"]
 
 
 @contextmanager
