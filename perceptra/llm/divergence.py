@@ -6,9 +6,8 @@ against those of its language by the Jensen-Shannon distance (base 2, 0 to 1),
 where the document is long enough for a histogram to mean something.
 
 The language references are counted over the whole corpus. Common words are
-those that make up ``share`` of their language's words: a word that frequent
-overall is that frequent in at least one batch, so a first pass names the
-candidates batch by batch and a second counts them exactly.
+those that make up ``share`` of their language's words: a first pass names the
+candidates by counters of bounded number, a second counts them exactly.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perceptra.llm.common import small
+from perceptra.llm.common import by_size, discard, materialise, small
 
 _CLASSES = 8
 _CLASS = np.full(256, 6, np.uint8)
@@ -36,8 +35,6 @@ for _chars, _kind in (
 ):
     _CLASS[list(_chars)] = _kind
 _SYMBOLS = (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")
-#: Candidate words that go to the executors at most; beyond, languages must be told apart better.
-MOST_WORDS = 1_000_000
 
 
 def repeated_window_words(words: list[bytes], size: int = 5) -> int:
@@ -94,40 +91,64 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, parts.sum() / 2)))
 
 
-def _frequent(docs: DataFrame, share: float) -> list[tuple[str, str]]:
-    """(lang, word) that make up ``share`` of a language's words in some batch."""
+def _pruned(counts: Counter, most: int) -> Counter:
+    """``counts`` less the count of the first word beyond the ``most`` largest; what is left above zero."""
+    if len(counts) <= most:
+        return counts
+    cut = np.partition(np.fromiter(counts.values(), np.int64, len(counts)), len(counts) - most - 1)[len(counts) - most - 1]
+    return Counter({w: n - int(cut) for w, n in counts.items() if n > cut})
+
+
+def _frequent(docs: DataFrame, share: float, least_words: int) -> list[tuple[str, bytes]]:
+    """(lang, word) that may make up ``share`` of the words of a language with ``least_words`` words.
+
+    Each task keeps ``2 / share`` counters for a language and takes the count
+    of the next one off all of them when there are more. So a word's counters
+    fall short of its true count by half of ``share`` of the language's words
+    at most, in all tasks together, and no more than ``2 / share`` words of a
+    language can reach the other half.
+    """
+    most = int(np.ceil(2 / share))
 
     def run(batches):
-        for batch in batches:
+        kept: dict[str, Counter] = defaultdict(Counter)
+        total: dict[str, int] = defaultdict(int)
+        for batch in by_size(batches):
             seen: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen[lang].update((text or b"").lower().split())
-            rows = []
             for lang, words in seen.items():
-                least = share * words.total()
-                rows += [(lang, w) for w, n in words.items() if n >= least]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["lang", "word"])
-
-    found = docs.mapInArrow(run, "lang string, word binary").distinct()
-    rows = found.limit(MOST_WORDS + 1).collect()
-    if len(rows) > MOST_WORDS:
-        raise ValueError(f"over {MOST_WORDS} candidate words: raise share or merge values of lang")
+                total[lang] += words.total()
+                words.update(kept[lang])
+                kept[lang] = _pruned(words, most)
+        rows = [(lang, None, n) for lang, n in total.items()]
+        rows += [(lang, w, n) for lang, words in kept.items() for w, n in words.items()]
+        if rows:
+            kinds = (pa.string(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["lang", "word", "n"])
+
+    counts = materialise(docs.mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    totals = counts.where("word is null").where(F.col("n") >= least_words).select("lang", F.col("n").alias("total"))
+    found = counts.where("word is not null").join(totals, "lang").where(F.col("n") >= F.col("total") * (share / 2))
+    rows = found.select("lang", "word").collect()
+    discard(counts)
     return [(r.lang, bytes(r.word)) for r in rows]
 
 
 def references(docs: DataFrame, share: float, least_words: int) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
     """Language -> character classes, common words' places, their counts and the rest's.
 
-    Languages of fewer than ``least_words`` words have none.
+    Languages of fewer than ``least_words`` words have none. What the driver
+    sees and the executors get is at most ``2 / share`` words of a language
+    that has as many.
     """
     candidates: dict[str, dict[bytes, int]] = defaultdict(dict)
-    for lang, word in sorted(_frequent(docs, share)):
+    for lang, word in sorted(_frequent(docs, share, least_words)):
         candidates[lang][word] = len(candidates[lang])
     candidates = dict(candidates)
 
     def run(batches):
-        for batch in batches:
+        for batch in by_size(batches):
             chars: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(_CLASSES, np.int64))
             words: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):

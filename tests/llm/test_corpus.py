@@ -220,6 +220,51 @@ def test_divergence_base_rules(spark, sf_dir):
         assert divergence.base_rules(text.encode()) == expected
 
 
+def test_divergence_against_brute_force(spark, sf_dir):
+    """Both distances and the verdict, from counts of all words and characters of a language."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows, share = docs.collect(), 0.002
+    words, chars = {}, {}
+    for r in rows:
+        words.setdefault(r.lang, Counter()).update(r.text.encode().lower().split())
+        chars.setdefault(r.lang, np.zeros(8)).__iadd__(np.bincount(divergence._CLASS[np.frombuffer(r.text.encode(), np.uint8)], minlength=8))
+    languages = {k for k, c in words.items() if c.total() >= 5_000}
+    assert languages
+
+    def distance(p, q):
+        p, q = np.array(p) / np.sum(p), np.array(q) / np.sum(q)
+        part = lambda a: sum(x * np.log2(x / ((x + y) / 2)) for x, y in zip(a, p + q - a, strict=True) if x > 0)
+        return np.sqrt(max(0, (part(p) + part(q)) / 2))
+
+    found = {r.doc_id: r for r in divergence.quality_rules(docs, least_reference=5_000).collect()}
+    assert len(found) == len(rows)
+    for r in rows:
+        data, got = r.text.encode(), found[r.doc_id]
+        own = Counter(data.lower().split())
+        char = word = None
+        if r.lang in languages:
+            if len(data) >= 200:
+                char = distance(np.bincount(divergence._CLASS[np.frombuffer(data, np.uint8)], minlength=8), chars[r.lang])
+            if own.total() >= 100:
+                least = share * words[r.lang].total()
+                common = [w for w, n in words[r.lang].items() if n >= least]
+                split = lambda c: [*(c[w] for w in common), c.total() - sum(c[w] for w in common)]
+                word = distance(split(own), split(words[r.lang]))
+        assert got.char_distance == (None if char is None else pytest.approx(char, abs=1e-9))
+        assert got.word_distance == (None if word is None else pytest.approx(word, abs=1e-9))
+        assert got.kept == (not got.base_failed and (char or 0) <= 0.25 and (word or 0) <= 0.34)
+
+
+def test_bounded_counters_keep_all_frequent_words(spark, monkeypatch):
+    """Words of a twentieth of a language are named whatever else there is; the counters stay few."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["a", "b"]) if rng.random() < 0.12 else f"u{i}x{j}" for j in range(100)) for i in range(400)]
+    typed = docs_of(spark, texts).repartition(20).select("lang", F.col("text").cast("binary"))
+    found = divergence._frequent(typed, 0.05, 1_000)
+    assert {w for _, w in found} >= {b"a", b"b"} and len(found) <= 40
+    assert divergence._frequent(typed, 0.05, 1_000_000) == []
+
+
 def test_divergence_keeps_good_and_drops_bad(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
