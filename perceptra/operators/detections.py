@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perceptra.functions.boxes import Box, area, corners, grown, grown_pixels
+from perceptra.operators.segments import by_group
 
 FRAME = ("stream_id", "frame_id")
 
@@ -138,18 +139,17 @@ def nms(
 ) -> DataFrame:
     """Greedy non-maximum suppression per frame: boxes over ``limit`` with a better kept one go.
 
-    A frame is a few dozen rows, so its rows are brought together and handled
-    as arrays; frames are spread by one shuffle on the frame's key.
+    A frame is a few dozen rows, so its rows are brought together; frames are
+    spread by one shuffle on the frame's key and handled many at a time.
     """
 
-    def run(table):
+    def run(table, frames):
         boxes = np.stack([table.column(n).to_numpy() for n in ("x1", "y1", "x2", "y2")], axis=1).astype(float)
-        keep = suppressed(
-            boxes, table.column("score").to_numpy().astype(float), table.column(id_column).to_numpy(), limit, plus_one
-        )
-        return table.take(pa.array(np.sort(keep)))
+        scores, ids = table.column("score").to_numpy().astype(float), table.column(id_column).to_numpy()
+        keep = [a + np.sort(suppressed(boxes[a:b], scores[a:b], ids[a:b], limit, plus_one)) for a, b in frames]
+        return table.take(pa.array(np.concatenate(keep)))
 
-    return dets.groupBy(*frame).applyInArrow(run, dets.schema)
+    return by_group(dets, list(frame), run, dets.schema)
 
 
 def _first(dets: DataFrame, k: int, frame: tuple[str, ...], *order: Column) -> DataFrame:
@@ -202,7 +202,3 @@ def largest_face(dets: DataFrame, exactly_one: bool = False, frame: tuple[str, .
         F.count(F.lit(1)).alias("n_"),
     )
     return (best.where("n_ = 1") if exactly_one else best).select("row_.*")
-
-
-def box_columns(box: Box) -> dict[str, Column]:
-    return dict(zip(("x1", "y1", "x2", "y2"), box, strict=True))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perceptra.operators.segments import walk
+
 BUCKETS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
 
 
@@ -26,17 +27,15 @@ def batch_latency(batches: DataFrame) -> DataFrame:
 def ema(rows: DataFrame, alpha: float = 0.1, key: str = "stream_id", value: str = "value") -> DataFrame:
     """``ema`` in order of ts: the first value, then (1 - alpha) * before + alpha * value.
 
-    A key's rows are one sequential group.
+    A null value leaves it as it is. A key's rows pass by in order and only
+    the last average is held.
     """
     kind = dict(rows.dtypes)
 
-    def run(table):
-        table = table.sort_by("ts")
-        out, now = [], None
-        for v in table.column(value).to_pylist():
-            now = v if now is None else (1 - alpha) * now + alpha * v
-            out.append(now)
-        return table.append_column("ema", pa.array(out, pa.float64()))
+    def step(state, row):
+        if (v := row[2]) is not None:
+            state[:] = [v if not state else (1 - alpha) * state[0] + alpha * v]
+        return (*row, state[0] if state else None)
 
     schema = f"{key} {kind[key]}, ts {kind['ts']}, {value} {kind[value]}, ema double"
-    return rows.select(key, "ts", value).groupBy(key).applyInArrow(run, schema)
+    return walk(rows.select(key, "ts", value), [key], ["ts"], list, step, schema)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perceptra.operators.asof import latest_state
+from perceptra.operators.segments import walk
 
 ACTIVE, READY = 2, 1
 _MESSAGE = "audio string, rate int, language_code string"
@@ -153,20 +153,15 @@ class Rechunker:
 def rechunk_audio(pcm: DataFrame, samples: int, width: int = 2) -> DataFrame:
     """(stream_id, connection, seq, chunk): chunks of ``samples``; what is left when a connection ends is dropped.
 
-    A connection's frames are one sequential group; frames are (stream_id,
-    connection, seq, payload).
+    A connection's frames pass by in order and only the rest of a chunk is
+    held; frames are (stream_id, connection, seq, payload).
     """
 
-    def run(table):
-        table = table.sort_by("seq")
-        box, out = Rechunker(samples * width), []
-        for stream, connection, seq, payload in zip(*(table.column(c).to_pylist() for c in names), strict=True):
-            if (chunk := box.step(payload or b"")) is not None:
-                out.append((stream, connection, seq, chunk))
-        kinds = [table.schema.field(c).type for c in names]
-        columns = list(zip(*out, strict=True)) if out else [()] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["stream_id", "connection", "seq", "chunk"])
+    def step(box, row):
+        stream, connection, seq, payload = row
+        chunk = box.step(payload or b"")
+        return None if chunk is None else (stream, connection, seq, chunk)
 
     names = ["stream_id", "connection", "seq", "payload"]
     schema = ", ".join(f"{'chunk' if c == 'payload' else c} {dict(pcm.dtypes)[c]}" for c in names)
-    return pcm.select(*names).groupBy("stream_id", "connection").applyInArrow(run, schema)
+    return walk(pcm.select(*names), ["stream_id", "connection"], ["seq"], lambda: Rechunker(samples * width), step, schema)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perceptra.functions.boxes import corners, grown, iou, point_in_box
+from perceptra.operators.segments import by_group, walk
 
 FRAME = ("stream_id", "frame_id")
 UNKNOWN = "__unknown__"
@@ -39,21 +40,21 @@ def assign_tracks_exclusive(tracks: DataFrame, dets: DataFrame, min_iou: float =
     pairs = _pairs(tracks, dets, min_iou).select(*FRAME, "track_id", "sim", "name", "is_known", "det_idx", "iou")
     kind = "stream_id long, frame_id long, det_idx long, name string, is_known boolean"
 
-    def run(table):
-        rows = table.to_pylist()
-        order = sorted({(-r["sim"], r["track_id"]) for r in rows})
-        taken: dict[int, dict] = {}
-        for _, track in order:
-            own = [r for r in rows if r["track_id"] == track and r["det_idx"] not in taken]
-            if own:
-                best = min(own, key=lambda r: (-r["iou"], r["det_idx"]))
-                taken[best["det_idx"]] = best
-        out = [{k: r[k] for k in ("stream_id", "frame_id", "det_idx", "name", "is_known")} for r in taken.values()]
+    def run(table, frames):
+        every, out = table.to_pylist(), []
+        for a, b in frames:
+            rows, taken = every[a:b], {}
+            for _, track in sorted({(-r["sim"], r["track_id"]) for r in rows}):
+                own = [r for r in rows if r["track_id"] == track and r["det_idx"] not in taken]
+                if own:
+                    best = min(own, key=lambda r: (-r["iou"], r["det_idx"]))
+                    taken[best["det_idx"]] = best
+            out += [{k: r[k] for k in ("stream_id", "frame_id", "det_idx", "name", "is_known")} for r in taken.values()]
         return pa.Table.from_pylist(out, schema=pa.schema(
             [("stream_id", pa.int64()), ("frame_id", pa.int64()), ("det_idx", pa.int64()), ("name", pa.string()), ("is_known", pa.bool_())]
         ))
 
-    given = pairs.groupBy(*FRAME).applyInArrow(run, kind)
+    given = by_group(pairs, list(FRAME), run, kind)
     return dets.select(*FRAME, "det_idx").join(given, [*FRAME, "det_idx"], "left").select(
         *FRAME, "det_idx", F.coalesce("name", F.lit("unknown")).alias("name"), F.coalesce("is_known", F.lit(False)).alias("is_known")
     )
@@ -76,25 +77,27 @@ def match_falls_to_faces(poses: DataFrame, faces: DataFrame, kp: float = 0.5, ma
         .select(*FRAME, "pose_idx", "is_fallen", "face_idx", "name", F.coalesce(inside, F.lit(0)).alias("points"))
     )
 
-    def run(table):
-        rows, used, out = table.to_pylist(), set(), []
-        by_pose: dict[int, list[dict]] = {}
-        for r in rows:
-            by_pose.setdefault(r["pose_idx"], []).append(r)
-        for pose in sorted(by_pose):
-            free = [r for r in by_pose[pose] if r["points"] > 0 and r["face_idx"] not in used]
-            best = min(free, key=lambda r: (-r["points"], r["face_idx"])) if free else None
-            if best:
-                used.add(best["face_idx"])
-            first = by_pose[pose][0]
-            out.append((first["stream_id"], first["frame_id"], pose, first["is_fallen"],
-                        best and best["face_idx"], best and best["name"]))
+    def run(table, frames):
+        rows, out = table.to_pylist(), []
+        for a, b in frames:
+            used: set[int] = set()
+            by_pose: dict[int, list[dict]] = {}
+            for r in rows[a:b]:
+                by_pose.setdefault(r["pose_idx"], []).append(r)
+            for pose in sorted(by_pose):
+                free = [r for r in by_pose[pose] if r["points"] > 0 and r["face_idx"] not in used]
+                best = min(free, key=lambda r: (-r["points"], r["face_idx"])) if free else None
+                if best:
+                    used.add(best["face_idx"])
+                first = by_pose[pose][0]
+                out.append((first["stream_id"], first["frame_id"], pose, first["is_fallen"],
+                            best and best["face_idx"], best and best["name"]))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string()]
         names = ["stream_id", "frame_id", "pose_idx", "is_fallen", "face_idx", "identity"]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return pairs.groupBy(*FRAME).applyInArrow(
-        run, "stream_id long, frame_id long, pose_idx long, is_fallen boolean, face_idx long, identity string"
+    return by_group(
+        pairs, list(FRAME), run, "stream_id long, frame_id long, pose_idx long, is_fallen boolean, face_idx long, identity string"
     )
 
 
@@ -240,24 +243,26 @@ def track_identities(observations: DataFrame, rule: IdentityRule = IdentityRule(
         )
     rows = runs(observations).select("stream_id", "frame_id", "track_id", "ts", "best_label", "sim", "run")
 
-    def run(table):
-        table = table.sort_by("frame_id")
-        state, out = Identity(), []
-        for r in table.to_pylist():
-            shown = rule.step(state, r["ts"], r["best_label"], r["sim"])
-            out.append((r["stream_id"], r["frame_id"], r["track_id"], r["ts"], shown, state.status, state.name, state.sim,
-                        state.attempts, len(state.votes), state.frames, state.unknown_since))
-        kinds = [pa.int64()] * 3 + [pa.float64(), pa.string(), pa.string(), pa.string(), pa.float64()] + [pa.int64()] * 3 + [pa.float64()]
-        names = ["stream_id", "frame_id", "track_id", "ts", "shown", "status", "name", "sim", "attempts", "votes", "frames", "unknown_since"]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+    def step(state, row):
+        stream, frame, track, ts, label, sim, _ = row
+        shown = rule.step(state, ts, label, sim)
+        return (stream, frame, track, ts, shown, state.status, state.name, state.sim,
+                state.attempts, len(state.votes), state.frames, state.unknown_since)
+
+    return walk(rows, ["stream_id", "track_id", "run"], ["frame_id"], Identity, step, IDENTITY_SCHEMA)
+
 
-    return rows.groupBy("stream_id", "track_id", "run").applyInArrow(run, IDENTITY_SCHEMA)
+def _latest(identities: DataFrame) -> DataFrame:
+    """Each stream's rows of its latest frame: the last row of each track, then those of the highest frame, in one pass."""
+    columns = [c for c in identities.columns if c not in ("stream_id", "track_id")]
+    last = identities.groupBy("stream_id", "track_id").agg(F.max_by(F.struct(*columns), "frame_id").alias("last"))
+    top = F.max("last.frame_id").over(Window.partitionBy("stream_id"))
+    return last.withColumn("top", top).where(F.col("last.frame_id") == F.col("top")).select("stream_id", "track_id", "last.*")
 
 
 def unknown_durations(identities: DataFrame, tracks: DataFrame) -> DataFrame:
     """(stream_id, track_id, seconds, area): tracks of a stream's latest frame that are not identified, by area."""
-    latest = identities.groupBy("stream_id").agg(F.max("frame_id").alias("frame_id"))
-    now = identities.join(latest, ["stream_id", "frame_id"]).where("status <> 'identified'")
+    now = _latest(identities).where("status <> 'identified'")
     x1, y1, x2, y2 = corners()
     sizes = tracks.select("stream_id", "frame_id", "track_id", ((x2 - x1) * (y2 - y1)).alias("area"))
     return now.join(sizes, ["stream_id", "frame_id", "track_id"]).select(
@@ -267,7 +272,6 @@ def unknown_durations(identities: DataFrame, tracks: DataFrame) -> DataFrame:
 
 def track_summary(identities: DataFrame) -> DataFrame:
     """The last row of each track active in its stream's latest frame."""
-    latest = identities.groupBy("stream_id").agg(F.max("frame_id").alias("frame_id"))
-    return identities.join(latest, ["stream_id", "frame_id"]).select(
+    return _latest(identities).select(
         "stream_id", "track_id", "name", "status", "sim", "frames", "attempts", "votes"
     )

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perceptra.operators.segments import walk
+
 
 def _micros(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
@@ -147,20 +149,19 @@ class RateWatch:
 def fps_change_points(frames: DataFrame, every_s: float = 5.0, change: float = 0.3, initial: float = 30.0, key: str = "stream_id") -> DataFrame:
     """(key, ts, fps) of the frames at which the rate in use changes.
 
-    Each check depends on the one before, so a stream's estimates are one
-    sequential group of three columns.
+    Each check depends on the one before: a stream's estimates pass by in
+    order and only the rate watch is held.
     """
     rated = fps_estimate(frames, initial=initial, key=key)
     kind = dict(frames.dtypes)[key]
     rows = rated.select(key, "ts", (_micros("ts") / 1e6).alias("t"), "fps")
 
-    def run(table):
-        table = table.sort_by("t")
-        watch = RateWatch(every_s, change, initial)
-        hit = [watch.step(t, f) for t, f in zip(table.column("t").to_pylist(), table.column("fps").to_pylist(), strict=True)]
-        return table.filter(pa.array(hit, pa.bool_())).select([key, "ts", "fps"])
+    def step(watch, row):
+        at, ts, t, fps = row
+        return (at, ts, fps) if watch.step(t, fps) else None
 
-    return rows.groupBy(key).applyInArrow(run, f"{key} {kind}, ts {dict(frames.dtypes)['ts']}, fps double")
+    schema = f"{key} {kind}, ts {dict(frames.dtypes)['ts']}, fps double"
+    return walk(rows, [key], ["t"], lambda: RateWatch(every_s, change, initial), step, schema)
 
 
 def batch_frames(frames: DataFrame, n: int = 5, key: str = "stream_id", item: str = "frame_id") -> DataFrame:

@@ -85,9 +85,9 @@ SELECT event_id, user_id AS stream_id, ts,
 FROM events""",
     "replies": """
 SELECT doc_id, CONCAT(CASE doc_id % 4 WHEN 0 THEN 'The most interesting aspect of the video is ' WHEN 1 THEN 'The most interesting aspect of these images is '
-       WHEN 2 THEN 'The most interesting aspect of this series of images is ' ELSE '' END, SUBSTRING(text, 1, 300)) AS raw_text FROM documents""",
+       WHEN 2 THEN 'The most interesting aspect of this series of images is ' ELSE '' END, text) AS raw_text FROM documents""",
     "asr_results": """
-SELECT conv_id, turn, turn % 2 = 0 AS is_final, CASE WHEN turn % 3 = 2 THEN '   ' ELSE CONCAT('  ', SUBSTRING(text, 1, 60), ' ') END AS transcript FROM conversations""",
+SELECT conv_id, turn, turn % 2 = 0 AS is_final, CASE WHEN turn % 3 = 2 THEN '   ' ELSE CONCAT('  ', text, ' ') END AS transcript FROM conversations""",
     "latencies": """
 SELECT event_type AS model, ts, value / 100 AS seconds FROM events""",
     "config_changes": """

@@ -289,7 +289,7 @@ SELECT '{"audio":"' || to_base64(CAST(CAST(chunk_id AS VARCHAR) AS BLOB)) ||
   '","rate":16000,"language_code":"en-US","alternative_language_codes":["de-DE"],"timestamp":' || CAST(floor(epoch(ts)) AS BIGINT) || '}' AS message
 FROM audio_chunks""")
 sql("emit_replies", "replies", """
-SELECT '{"vlm_reply":"' || substring(raw_text, 1, 20) || '"}' AS value FROM replies WHERE doc_id % 4 = 0""")
+SELECT CAST(to_json({'vlm_reply': raw_text}) AS VARCHAR) AS value FROM replies""")
 _REPLY = "lower(raw_text)"
 for _opening in ("this series of images", "the series of images", "the images", "these images", "the video"):
     _REPLY = f"replace({_REPLY}, 'the most interesting aspect of {_opening} is', 'You see')"

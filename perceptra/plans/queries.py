@@ -442,7 +442,7 @@ def emit_audio_messages(chunks):
 
 @query("replies")
 def emit_replies(replies):
-    return gallery_files.emit_replies(replies.select("doc_id", F.substring("raw_text", 1, 20).alias("text")).where("doc_id % 4 = 0"), "vlm_reply")
+    return gallery_files.emit_replies(replies.select("doc_id", F.col("raw_text").alias("text")), "vlm_reply")
 
 
 @query("replies")
