@@ -49,8 +49,60 @@ _ISC = (
     "USE OR PERFORMANCE OF THIS SOFTWARE."
 )
 
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+_BSD_TAIL = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+    "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+    "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+    "for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+    "following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you "
+    "wrote the original software. If you use this software in a product, an acknowledgment in the product documentation "
+    "would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not "
+    "be misrepresented as being the original software. 3. This notice may not be removed or altered from any source "
+    "distribution."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+    "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+    "purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author "
+    "or authors of this software dedicate any and all copyright interest in the software to the public domain. We make "
+    "this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend "
+    "this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this "
+    'software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, '
+    "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+    "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+    "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+    "DEALINGS IN THE SOFTWARE. For more information, please refer to <http://unlicense.org/>"
+)
+
 # Known licences and licence notices, (name, text).
 KNOWN = (
+    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
+    ("BSD-2-Clause", "BSD 2-Clause License " + _BSD_HEAD + _BSD_TAIL),
+    ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
+    ("BSD-3-Clause", "BSD 3-Clause License " + _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
+    ("Zlib", _ZLIB),
+    ("Zlib", "zlib License " + _ZLIB),
+    ("Unlicense", _UNLICENSE),
     ("MIT", _MIT),
     ("MIT", "MIT License " + _MIT),
     ("ISC", _ISC),
@@ -74,7 +126,8 @@ KNOWN = (
 )
 
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[ \t]|\(c\)[ \t]|©)[^\n]*"
+#: A statement of who holds the copyright since when; a wrapped line that begins "copyright notice" is none.
+_COPYRIGHT_LINE = r"(^|\n)[ \t]*((copyright[ \t]+)?(\(c\)|©)|copyright[ \t]+(19|20)[0-9][0-9])[^\n]*"
 
 
 def canonical(text: Column) -> Column:
@@ -87,7 +140,7 @@ def canonical(text: Column) -> Column:
 
 def known_digests(spark, known=KNOWN) -> DataFrame:
     """(digest, license) of the known texts: as many rows as texts, whatever the corpus."""
-    rows = spark.createDataFrame(list(known), "license string, text string")
+    rows = spark.createDataFrame(list(known), "license string, text string").where(canonical(F.col("text")) != "")
     return rows.select(F.sha2(canonical("text").cast("binary"), 256).alias("digest"), "license").distinct()
 
 
@@ -95,19 +148,23 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     """(doc_id, unit, line, license): every whole text and every line that is a known licence.
 
     unit is ``text`` (line -1) or ``line`` (line from 0, split at \\n); a text
-    of one line matches as both. Null and empty texts match nothing, as no
-    known text is empty; repeated rows match as often as they come; further
-    columns are not read. Texts shorter than the shortest known canonical form
-    cannot match, as no step lengthens a text by more than the blanks it
-    trims, and are left out before anything is normalised.
+    of one line matches as both. Null and empty texts match nothing: known
+    texts whose canonical form is empty are left out, and no known texts give
+    no rows; repeated rows match as often as they come; further columns are
+    not read. Units of under half the letters and digits of the shortest known
+    text cannot match, as no spelling doubles in length, and are left out
+    before anything is normalised.
     """
     spark = docs.sparkSession
-    least = min(sum(c.isalnum() for c in text) for _, text in known)
+    least = min((sum(c.isalnum() for c in text) for _, text in known), default=0) // 2
     texts = docs.select("doc_id", F.lit("text").alias("unit"), F.lit(-1).alias("line"), "text")
     lines = docs.select("doc_id", F.lit("line").alias("unit"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
     units = texts.union(lines).where(F.length("text") >= least)
     digest = F.sha2(canonical("text").cast("binary"), 256)
-    return units.join(F.broadcast(known_digests(spark, known)), digest == F.col("digest")).select(
+    digests = known_digests(spark, known)
+    if len(known) <= 10_000:  # beyond, an exchange by digest
+        digests = F.broadcast(digests)
+    return units.join(digests, digest == F.col("digest")).select(
         "doc_id", "unit", "line", "license"
     )
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import time
 import tracemalloc
 import zlib
@@ -338,6 +339,16 @@ def test_licence_forms(spark):
     assert {(r.doc_id, r.unit, r.line, r.license) for r in licences.scan(rows).collect()} == {(0, "text", -1, "MIT"), (2, "line", 1, "MIT")}
 
 
+@pytest.mark.parametrize("width", [60, 72, 100, 10_000])
+def test_whole_licences_wrapped_at_any_width(spark, width):
+    texts = [(n, t) for n, t in licences.KNOWN if len(t) > 300]
+    wrapped = ["Copyright (c) 2021, Somebody\n\n" + "\n".join(textwrap.wrap(t, width)) for _, t in texts]
+    found = {(r.doc_id, r.license) for r in licences.scan(docs_of(spark, wrapped)).collect() if r.unit == "text"}
+    assert found == {(i, n) for i, (n, _) in enumerate(texts)}
+    assert licences.scan(docs_of(spark, ["a", "", None]), known=()).count() == 0
+    assert licences.scan(docs_of(spark, ["copyright 2020 x", "", None]), known=(("x", "Copyright 2020 x"),)).count() == 0
+
+
 def test_classifier_on_held_out_rows(spark):
     found = queries.op6_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
     assert (found.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in found.doc_id]).all()
