@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from perceptra.storage import materialise
+
 #: Bytes of vectors that are sent to every executor at most; more are met block by block.
 BROADCAST_BYTES = 64 << 20
 #: Vectors in a block of the larger path.
@@ -37,11 +39,23 @@ def gallery_stats(vectors: DataFrame, label: str = "label", vector: str = "embed
 
 
 def _nearest(batch_ids: list, probes: np.ndarray, names: np.ndarray, matrix: np.ndarray, k: int):
-    """The ``k`` best columns for each row; ties to the earlier name."""
-    scores = probes @ matrix.T
-    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(len(batch_ids)), order.shape[1])
-    return rows, order.ravel(), scores[rows, order.ravel()]
+    """The ``k`` best columns for each row; ties to the earlier name. Scores of some 32 MB are held at a time."""
+    step, found = max(1, (4 << 20) // max(1, len(names))), []
+    for at in range(0, len(batch_ids), step):
+        scores = probes[at : at + step] @ matrix.T
+        if k == 1:
+            column = scores.argmax(axis=1)
+            row = np.arange(len(scores))
+        else:
+            least = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
+            row, column = np.nonzero(scores >= least[:, None])
+            order = np.lexsort((column, -scores[row, column], row))
+            row, column = row[order], column[order]
+            first = np.searchsorted(row, row)
+            best = np.arange(len(row)) - first < k
+            row, column = row[best], column[best]
+        found.append((row + at, column, scores[row, column]))
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
 
 
 def nearest(
@@ -53,8 +67,10 @@ def nearest(
     The candidates are counted first. Up to ``broadcast_bytes`` they go to
     every executor as one matrix. Beyond, they are dealt into blocks of some
     ``BLOCK`` vectors, probes meet each block through an equal key, and the
-    best of each block are ranked: memory stays that of two blocks.
+    best of each block are ranked: memory stays that of two blocks. Null
+    vectors take no part on either side.
     """
+    probes, candidates = probes.where(F.col(probe_vector).isNotNull()), candidates.where(F.col(candidate_vector).isNotNull())
     kind = dict(candidates.dtypes)[candidate_id]
     probe_kind = dict(probes.dtypes)[probe_id]
     schema = f"probe {probe_kind}, candidate {kind}, score double"
@@ -82,7 +98,7 @@ def nearest(
                     ["probe", "candidate", "score"],
                 )
 
-        found = asked.where("v is not null").mapInArrow(run, schema)
+        found = asked.mapInArrow(run, schema)
     else:
         blocks = -(-size.n // BLOCK)
         packed = own.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(
@@ -172,13 +188,17 @@ def numbered(items: DataFrame, start: int = 0, row: str = "row_id") -> DataFrame
     """Items with dense row ids from ``start`` in (label, path) order.
 
     Ids come from a distributed sort and the sizes of its partitions, not from
-    a window over everything.
+    a window over everything: a row's place in its partition is in the lower
+    33 bits of Spark's own id, the partition in the upper ones.
     """
     columns = [c for c in items.columns if c != row]
-    kind = items.select(*columns).schema.add(row, "long")
-    ordered = items.select(*columns).orderBy("label", "path")
-    rows = ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + start))
-    return items.sparkSession.createDataFrame(rows, kind)
+    placed = materialise(items.select(*columns).orderBy("label", "path").withColumn("id_", F.monotonically_increasing_id()))
+    part = F.shiftright("id_", 33)
+    sizes = placed.groupBy(part.alias("part_")).agg(F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("part_", F.coalesce(before, F.lit(0)).alias("start_"))  # one row for each partition
+    numbers = F.col("start_") + F.col("id_").bitwiseAND((1 << 33) - 1) + start
+    return placed.join(F.broadcast(starts), part == F.col("part_")).select(*columns, numbers.cast("long").alias(row))
 
 
 def delete_identities(items: DataFrame, ids: DataFrame) -> DataFrame:

@@ -97,10 +97,17 @@ def interrupted_requests(requests: DataFrame, interrupts: DataFrame, live: bool
     """(key, request_id, outcome): ``cancelled`` while queued, ``cut`` while playing, else ``finished``.
 
     requests: enqueued, started, finished. The earliest interrupt decides; the
-    older player (``live=False``) leaves queued requests alone.
+    older player (``live=False``) leaves queued requests alone. The next
+    interrupt after each of a request's times comes from one union and one
+    window, read backwards in time.
     """
-    hit = interrupts.select(key, F.col("ts").alias("i_"))
-    rows = requests.join(hit, key, "left")
+    times = F.explode(F.array(*(F.struct(F.col(c).alias("t_"), F.lit(c).alias("of_")) for c in ("enqueued", "started"))))
+    asked = requests.select(key, "request_id", "enqueued", "started", "finished", times.alias("x_"))
+    asked = asked.select(key, "request_id", "enqueued", "started", "finished", "x_.t_", "x_.of_", F.lit(1).alias("kind_"))
+    hits = interrupts.select(key, F.col("ts").alias("t_"), F.col("ts").alias("i_"), F.lit(0).alias("kind_"))
+    order = Window.partitionBy(key).orderBy(F.desc_nulls_last("t_"), "kind_").rowsBetween(Window.unboundedPreceding, 0)
+    rows = asked.unionByName(hits, allowMissingColumns=True)
+    rows = rows.withColumn("i_", F.last("i_", ignorenulls=True).over(order)).where("kind_ = 1")
     queued = (F.col("enqueued") <= F.col("i_")) & (F.col("i_") < F.col("started"))
     playing = (F.col("started") <= F.col("i_")) & (F.col("i_") < F.col("finished"))
     any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
