@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 from perceptra.llm.common import shared_dir
 
 
+#: Parts that the links of one node are dealt into.
+SPLITS = 32
+
+
 def _smallest(pairs: DataFrame, node: str, other: str) -> DataFrame:
-    """(node, other) joined with the smallest neighbour of ``node``, itself included."""
-    least = pairs.groupBy(node).agg(F.min(other).alias("least"))
-    least = least.select(node, F.least("least", node).alias("least"))
-    return pairs.join(least, node)
+    """(node, other, least): ``least`` is the smallest neighbour of ``node``, itself included.
+
+    The links of a node are dealt into parts by their other end, so that a hub
+    is no single key: only the minima of its parts meet, and the least of them
+    goes back to the parts that the node has, one for most nodes.
+    """
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64(other), F.lit(SPLITS)).cast("int"))
+    parts = dealt.groupBy(node, "part").agg(F.min(other).alias("least"))
+    least = parts.groupBy(node).agg(F.least(F.min("least"), node).alias("least"), F.collect_list("part").alias("parts"))
+    return dealt.join(least.select(node, "least", F.explode("parts").alias("part")), [node, "part"]).drop("part")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -20,9 +30,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Large-star and small-star rounds in turn: a round is two aggregations and
     two joins over the edges, whose number never grows, and no group is
-    gathered anywhere, so a hub with any number of links is only a skewed join
-    that adaptive execution splits. Every round is checkpointed in the shared
-    folder. Edges with a null end and loops are left out; no edges, no rows.
+    gathered anywhere: a hub with any number of links is dealt into parts.
+    Every round is checkpointed in the shared folder. Edges with a null end and loops are left out; no edges, no rows.
     """
     shared_dir(edges.sparkSession)
     now = (
