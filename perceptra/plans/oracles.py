@@ -1,8 +1,8 @@
 """SQL for DuckDB that gives the rows of the registered queries.
 
-Sequential operators (suppression, exclusive assignment, identity votes,
-chunking, moving averages) have no SQL here; tests hold them against plain
-Python.
+Suppression, exclusive assignment and moving averages recur over the place of
+a row in its group. Identity votes over time, rate watching and models that
+hash have no SQL here; tests hold them against plain Python.
 """
 
 from __future__ import annotations
@@ -397,3 +397,104 @@ WHERE d BETWEEN 0.0 AND 0.2""")
 sql("explode_hazards", "", """
 SELECT event_id, hazard_type, CASE hazard_type WHEN 2 THEN 'CLIFF' WHEN 3 THEN 'STALL' WHEN 5 THEN 'OBJECT_PROXIMITY' END AS hazard_type_name
 FROM (SELECT event_id, unnest([2, 3, 5]) AS hazard_type FROM events) e WHERE event_id % hazard_type = 0""")
+
+
+# --- operators that take rows in turn: recursion over the place of a row in its group ---------------
+
+
+def _in_turn(fixtures: str, more: str, body: str) -> str:
+    return _and_then(fixtures, more, body).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def _suppressed(rows: str, key: tuple[str, ...], number: str) -> str:
+    """Common tables up to ``kept_rows`` (key, k): what greedy suppression leaves of ``rows``."""
+    keys, same = ", ".join(key), " AND ".join(f"r.{c} = run.{c}" for c in key)
+    box = "{'number': %s, 'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}" % number
+    return f"""
+, ranked AS MATERIALIZED (
+  SELECT *, {box} AS box, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, {number}) AS n,
+         count(*) OVER (PARTITION BY {keys}) AS total FROM ({rows}) f),
+run AS (
+  SELECT {keys}, n, total, [box] AS kept FROM ranked WHERE n = 1
+  UNION ALL
+  SELECT {", ".join(f"r.{c}" for c in key)}, r.n, r.total,
+         CASE WHEN len(list_filter(kept, lambda k: {_iou('k', 'box', '1.0')} > 0.4)) = 0 THEN list_append(kept, box) ELSE kept END
+  FROM run JOIN ranked r ON {same} AND r.n = run.n + 1),
+kept_rows AS (SELECT {keys}, unnest(kept) AS k FROM run WHERE n = total)"""
+
+
+ORACLES["nms"] = _in_turn("detections", _suppressed("SELECT * FROM detections", ("stream_id", "frame_id"), "det_idx"), """
+SELECT frame_id, k.number AS det_idx, k.score AS score FROM kept_rows""")
+ORACLES["cap_by_score"] = _in_turn("tensor_cells", _suppressed(f"""
+  SELECT frame_id, cell_idx, score, cx - l * stride AS x1, cy - t * stride AS y1, cx + r * stride AS x2, cy + b * stride AS y2 FROM ({_CELL}) c
+  QUALIFY row_number() OVER (PARTITION BY frame_id, stride ORDER BY score DESC, cell_idx) <= 5""", ("frame_id",), "cell_idx"), """
+SELECT frame_id, k.number AS cell_idx, k.score AS score FROM kept_rows
+QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY k.score DESC, k.number) <= 4""")
+ORACLES["assign_tracks_exclusive"] = _in_turn("tracks detections", f"""
+, offers AS (
+  SELECT t.stream_id, t.frame_id, track_id, sim, {{'name': best_label, 'is_known': sim > 0.4}} AS given,
+         list(det_idx ORDER BY {_iou('t', 'd', '0.0')} DESC, det_idx) AS dets
+  FROM tracks t JOIN detections d ON d.stream_id = t.stream_id AND d.frame_id = t.frame_id
+  WHERE {_iou('t', 'd', '0.0')} > 0.3 GROUP BY ALL),
+ranked AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY stream_id, frame_id ORDER BY sim DESC, track_id) AS n,
+         count(*) OVER (PARTITION BY stream_id, frame_id) AS total FROM offers),
+run AS (
+  SELECT stream_id, frame_id, n, total, [dets[1]] AS taken, [given] AS givens FROM ranked WHERE n = 1
+  UNION ALL
+  SELECT r.stream_id, r.frame_id, r.n, r.total, list_append(taken, list_filter(dets, lambda d: NOT list_contains(taken, d))[1]), list_append(givens, given)
+  FROM run JOIN ranked r ON r.stream_id = run.stream_id AND r.frame_id = run.frame_id AND r.n = run.n + 1),
+chosen AS (SELECT stream_id, frame_id, unnest(taken) AS det_idx, unnest(givens) AS g FROM run WHERE n = total)""", """
+SELECT d.stream_id, d.frame_id, d.det_idx, coalesce(g.name, 'unknown') AS name, coalesce(g.is_known, FALSE) AS is_known
+FROM detections d LEFT JOIN chosen c ON c.stream_id = d.stream_id AND c.frame_id = d.frame_id AND c.det_idx = d.det_idx""")
+ORACLES["match_falls_to_faces"] = _in_turn("pose_keypoints", f"""
+, falls AS (SELECT * FROM ({_FALLS}) g),
+heads AS (
+  SELECT k.stream_id, k.frame_id, k.pose_idx, d.det_idx AS face, count(*) AS points
+  FROM pose_keypoints k JOIN detections d ON d.stream_id = k.stream_id AND d.frame_id = k.frame_id
+  WHERE kp < 5 AND conf >= 0.5 AND x BETWEEN d.x1 - (d.x2 - d.x1) * 0.25 AND d.x2 + (d.x2 - d.x1) * 0.25
+    AND y BETWEEN d.y1 - (d.y2 - d.y1) * 0.25 AND d.y2 + (d.y2 - d.y1) * 0.25 GROUP BY ALL),
+offers AS (SELECT stream_id, frame_id, pose_idx, list(face ORDER BY points DESC, face) AS faces FROM heads GROUP BY ALL),
+ranked AS MATERIALIZED (
+  SELECT f.stream_id, f.frame_id, f.pose_idx, is_fallen, coalesce(faces, []) AS faces,
+         row_number() OVER (PARTITION BY f.stream_id, f.frame_id ORDER BY f.pose_idx) AS n
+  FROM falls f LEFT JOIN offers o ON o.stream_id = f.stream_id AND o.frame_id = f.frame_id AND o.pose_idx = f.pose_idx),
+run AS (
+  SELECT stream_id, frame_id, pose_idx, is_fallen, n, faces[1] AS face, [faces[1]] AS taken FROM ranked WHERE n = 1
+  UNION ALL
+  SELECT r.stream_id, r.frame_id, r.pose_idx, r.is_fallen, r.n, list_filter(r.faces, lambda v: NOT list_contains(taken, v))[1],
+         list_append(taken, list_filter(r.faces, lambda v: NOT list_contains(taken, v))[1])
+  FROM run JOIN ranked r ON r.stream_id = run.stream_id AND r.frame_id = run.frame_id AND r.n = run.n + 1)""", """
+SELECT stream_id, frame_id, pose_idx, is_fallen, face AS face_idx, CASE WHEN face % 3 > 0 THEN concat('p', face) END AS identity FROM run""")
+ORACLES["ema"] = _in_turn("latencies", """
+, ordered AS MATERIALIZED (SELECT model, ts, seconds, row_number() OVER (PARTITION BY model ORDER BY ts) AS n FROM latencies),
+run AS (
+  SELECT model, ts, n, seconds AS ema FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT o.model, o.ts, o.n, 0.9 * ema + 0.1 * seconds FROM run JOIN ordered o ON o.model = run.model AND o.n = run.n + 1)""", """
+SELECT model AS stream_id, ts, round(ema, 6) AS ema FROM run""")
+
+#: Frames of 24 bytes and chunks of 40: a frame never holds more than a chunk, so whole chunks leave as they fill.
+ORACLES["rechunk_audio"] = _and_then("audio_chunks", """
+, frames AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY chunk_id) AS n FROM audio_chunks),
+wholes AS (SELECT stream_id, string_agg(repeat(printf('%08d', chunk_id), 3), '' ORDER BY chunk_id) AS whole FROM audio_chunks GROUP BY stream_id)""", """
+SELECT stream_id, CAST(0 AS INTEGER) AS connection, chunk_id AS seq, hex(substr(whole, 40 * (24 * n // 40 - 1) + 1, 40)) AS chunk
+FROM frames JOIN wholes USING (stream_id) WHERE 24 * n // 40 > 24 * (n - 1) // 40""")
+
+_PICTURES = """
+SELECT event_id AS frame_id, CASE WHEN event_id % 3 = 0 THEN substr(p, 5, 2) || substr(p, 3, 2) || substr(p, 1, 2) ELSE p END AS pixel
+FROM (SELECT event_id, printf('%06X', event_id) AS p FROM events WHERE event_id % 3 < 2) e"""
+sql("to_bgr", "", f"SELECT frame_id, 'bgr8' AS encoding, repeat(pixel, 24) AS data FROM ({_PICTURES}) f")
+#: The box from (1, 1) to (4, 3), grown by a quarter about its centre and cut to whole pixels of 6 x 4.
+sql("pixelate_frames", "", f"""
+SELECT frame_id, string_agg(CASE WHEN i % 6 >= low_x AND i % 6 < high_x AND i // 6 >= low_y AND i // 6 < high_y THEN 'FFFFFF' ELSE pixel END, '' ORDER BY i) AS data
+FROM ({_PICTURES}) f, range(24) AS g(i), (
+  SELECT greatest(0, trunc(2.5 - 3 * 1.25 / 2)) AS low_x, greatest(0, trunc(2.0 - 2 * 1.25 / 2)) AS low_y,
+         least(5, trunc(2.5 + 3 * 1.25 / 2)) AS high_x, least(3, trunc(2.0 + 2 * 1.25 / 2)) AS high_y) b
+GROUP BY frame_id""")
+sql("apply_model", "", f"""
+SELECT stream_id, batch, concat('You see: ', count(*), ' from ', arg_min(frame_id, place)) AS reply, CAST(NULL AS VARCHAR) AS error FROM (
+  SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts, frame_id) AS place,
+         (row_number() OVER (PARTITION BY stream_id ORDER BY ts, frame_id) - 1) // 5 AS batch FROM ({_FRAMES}) f) g
+GROUP BY stream_id, batch HAVING count(*) = 5""")
+ORACLES["hit_or_miss"] = f"SELECT outcome, count(*) AS n FROM ({ORACLES['retrieve_answers']}) q GROUP BY outcome"
