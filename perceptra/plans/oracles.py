@@ -1,8 +1,7 @@
 """SQL for DuckDB that gives the rows of the registered queries.
 
-Suppression, exclusive assignment and moving averages recur over the place of
-a row in its group. Identity votes over time, rate watching and models that
-hash have no SQL here; tests hold them against plain Python.
+Operators that take rows in turn recur over the place of a row in its group.
+Models that hash texts have no SQL here; tests hold them against plain Python.
 """
 
 from __future__ import annotations
@@ -498,3 +497,98 @@ SELECT stream_id, batch, concat('You see: ', count(*), ' from ', arg_min(frame_i
          (row_number() OVER (PARTITION BY stream_id ORDER BY ts, frame_id) - 1) // 5 AS batch FROM ({_FRAMES}) f) g
 GROUP BY stream_id, batch HAVING count(*) = 5""")
 ORACLES["hit_or_miss"] = f"SELECT outcome, count(*) AS n FROM ({ORACLES['retrieve_answers']}) q GROUP BY outcome"
+
+_IDENTITIES = """
+, seen_tracks AS (
+  SELECT stream_id, track_id, frame_id // 3 AS frame_id, x1, y1, x2, y2, best_label, sim,
+         CAST(frame_id // 3 AS DOUBLE) * CAST(0.1 AS DOUBLE) + CAST(10 AS DOUBLE) AS ts FROM tracks),
+placed AS (
+  SELECT *, frame_id - row_number() OVER (PARTITION BY stream_id, track_id ORDER BY frame_id) AS run_no FROM seen_tracks WHERE x2 > x1 AND y2 > y1),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stream_id, track_id, run_no ORDER BY frame_id) AS n FROM placed),
+run AS (
+  SELECT stream_id, track_id, run_no, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS frame_id, CAST(NULL AS DOUBLE) AS ts, 'unknown' AS shown,
+         'new' AS status, CAST(NULL AS VARCHAR) AS name, CAST(0 AS DOUBLE) AS sim, CAST([] AS STRUCT(name VARCHAR, sim DOUBLE)[]) AS votes,
+         CAST(0 AS BIGINT) AS attempts, CAST(0 AS DOUBLE) AS last, CAST(0 AS DOUBLE) AS since
+  FROM ranked WHERE n = 1
+  UNION ALL
+  SELECT stream_id, track_id, run_no, n, frame_id, ts, shown,
+    CASE WHEN closes THEN CASE WHEN wins THEN 'identified' ELSE 'unknown' END WHEN due THEN 'identifying' ELSE status END,
+    CASE WHEN closes THEN CASE WHEN wins THEN top END ELSE name END,
+    CASE WHEN closes AND wins THEN list_sum(own) / len(own) ELSE sim END, votes, attempts, last, CASE WHEN closes AND wins THEN 0 ELSE since END
+  FROM (
+    SELECT *, list_transform(list_filter(votes, lambda v: v.name = top), lambda v: v.sim) AS own, due AND (len(votes) >= 3 OR attempts >= 10) AS closes,
+           coalesce(len(list_filter(votes, lambda v: v.name = top)) / len(votes) >= 0.5, FALSE) AS wins
+    FROM (
+      SELECT *, list_sort(list_transform(votes, lambda v, i: {'real': v.name <> '__unknown__', 'n': len(list_filter(votes, lambda o: o.name = v.name)),
+                                                               'first': -i, 'name': CASE WHEN v.name <> '__unknown__' THEN v.name END}), 'DESC')[1].name AS top
+      FROM (
+        SELECT * REPLACE (
+            CASE WHEN due THEN list_append(votes, {'name': CASE WHEN given_sim >= 0.4 THEN given ELSE '__unknown__' END, 'sim': given_sim}) ELSE votes END AS votes,
+            attempts + CAST(due AS BIGINT) AS attempts, CASE WHEN due THEN ts ELSE last END AS last),
+          CASE WHEN status = 'identified' AND name IS NOT NULL THEN printf('%s (%.2f)', name, sim)
+               WHEN status = 'identifying' AND guess IS NOT NULL
+               THEN printf('%s? (%.2f)', guess, list_max(list_transform(list_filter(votes, lambda v: v.name = guess), lambda v: v.sim)))
+               ELSE 'unknown' END AS shown
+        FROM (
+          SELECT *, status IN ('new', 'identifying') AND ts - last >= CAST(0.3 AS DOUBLE) AND attempts < 10 AS due,
+            list_sort(list_transform(list_filter(votes, lambda v: v.name <> '__unknown__'), lambda v, i: {
+              'n': len(list_filter(votes, lambda o: o.name = v.name)), 'first': -i, 'name': v.name}), 'DESC')[1].name AS guess
+          FROM (
+            SELECT stream_id, track_id, run_no, n, frame_id, ts, given, given_sim, name, sim, last, since,
+              CASE WHEN again THEN 'new' ELSE status END AS status, CASE WHEN again THEN [] ELSE votes END AS votes,
+              CASE WHEN again THEN 0 ELSE attempts END AS attempts
+            FROM (
+              SELECT r.stream_id, r.track_id, r.run_no, r.n, r.frame_id, r.ts, r.best_label AS given, r.sim AS given_sim, name, run.sim, votes, attempts, last, status,
+                CASE WHEN status = 'identified' THEN 0 WHEN since = 0 THEN r.ts ELSE since END AS since,
+                r.ts - last >= 3.0 AND (status = 'unknown' OR (status = 'identified' AND run.sim < 0.5)) AS again
+              FROM run JOIN ranked r ON r.stream_id = run.stream_id AND r.track_id = run.track_id AND r.run_no = run.run_no AND r.n = run.n + 1
+            ) a) b) c) d) e) f),
+identities AS (SELECT * FROM run WHERE n > 0),
+latest AS (SELECT * FROM identities QUALIFY frame_id = max(frame_id) OVER (PARTITION BY stream_id)),
+waiting AS (
+  SELECT l.stream_id, l.track_id, round_even(l.ts - since, 1) AS seconds, (x2 - x1) * (y2 - y1) AS area
+  FROM latest l JOIN seen_tracks s ON s.stream_id = l.stream_id AND s.frame_id = l.frame_id AND s.track_id = l.track_id WHERE status <> 'identified')
+"""
+ORACLES["track_identities"] = _in_turn("tracks", _IDENTITIES, """
+SELECT stream_id, frame_id, track_id, round(ts, 6) AS ts, shown, status, name, round(sim, 6) AS sim, attempts, len(votes) AS votes, n AS frames,
+       round(since, 6) AS unknown_since FROM identities""")
+ORACLES["track_summary"] = _in_turn("tracks", _IDENTITIES, """
+SELECT stream_id, track_id, name, status, round(sim, 6) AS sim, n AS frames, attempts, len(votes) AS votes FROM latest""")
+ORACLES["unknown_durations"] = _in_turn("tracks", _IDENTITIES, "SELECT stream_id, track_id, seconds, area FROM waiting")
+ORACLES["who_report"] = _in_turn("presence_names tracks", _EVENTS + _IDENTITIES, """
+, shown_now AS (
+  SELECT stream_id, string_agg(best_label, ',' ORDER BY (x2 - x1) * (y2 - y1) DESC, track_id) AS faces
+  FROM (SELECT * FROM tracks QUALIFY frame_id = max(frame_id) OVER (PARTITION BY stream_id)) t GROUP BY stream_id)
+SELECT now_.stream_id, CAST(n_fallen + fallen_unknown_now AS INTEGER) AS fallen_count, faces,
+       CAST((SELECT count(*) FROM waiting w WHERE w.stream_id = now_.stream_id) AS INTEGER) AS n_unknown
+FROM now_ LEFT JOIN shown_now USING (stream_id)""")
+ORACLES["fps_change_points"] = _in_turn("", f"""
+WITH scaled AS (
+  SELECT stream_id, 1704067200000000 + (t - 1704067200000000) // 20000 AS t FROM ({_FRAMES}) f),
+rated AS (
+  SELECT *, count(*) OVER w AS many, (max(t) OVER w - min(t) OVER w) / 1e6 AS span FROM scaled
+  WINDOW w AS (PARTITION BY stream_id ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+ordered AS MATERIALIZED (
+  SELECT stream_id, t, CASE WHEN many < 2 OR span <= 0 THEN 10.0 ELSE least(greatest((many - 1) / span, 5.0), 60.0) END AS fps,
+         row_number() OVER (PARTITION BY stream_id ORDER BY t) AS n FROM rated),
+run AS (
+  SELECT stream_id, n, t, t AS checked, CAST(10 AS DOUBLE) AS fps, FALSE AS hit FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT o.stream_id, o.n, o.t, CASE WHEN o.t - checked > 5000000 THEN o.t ELSE checked END,
+         CASE WHEN o.t - checked > 5000000 AND abs(o.fps - run.fps) / run.fps > 0.3 THEN o.fps ELSE run.fps END,
+         o.t - checked > 5000000 AND abs(o.fps - run.fps) / run.fps > 0.3
+  FROM run JOIN ordered o ON o.stream_id = run.stream_id AND o.n = run.n + 1)""", """
+SELECT stream_id, make_timestamp(t) AS ts, round(fps, 6) AS fps FROM run WHERE hit""")
+
+sql("unpack_embeddings", "", """
+SELECT vec_id, CASE WHEN vec_id % 9 <> 0 THEN 2 END AS n, CASE WHEN vec_id % 9 <> 0 THEN (vec_id * 4099) % 8388608 END AS first,
+       CASE WHEN vec_id % 9 <> 0 THEN (vec_id * 7919) % 8388608 END AS second FROM embeddings""")
+ORACLES["refresh_gallery"] = _and_then("gallery_files gallery_items", """
+, listed AS (
+  SELECT label, stem FROM gallery_files WHERE kind = 'aligned' AND concat(label, '/aligned/', stem, '.', ext) NOT IN (SELECT path FROM gallery_items)
+  UNION ALL
+  SELECT label, regexp_extract(path, '([^/]+)[.]', 1) FROM gallery_items),
+gallery AS (
+  SELECT listed.label, embedding FROM listed JOIN embeddings ON vec_id = CAST(substr(stem, 4) AS BIGINT) % (SELECT count(*) FROM embeddings))
+""" + _CENTROIDS, """
+SELECT label, n.n AS count, CAST(i AS INTEGER) AS i, round(m / norm, 6) AS value FROM means JOIN norms n USING (label)""")
