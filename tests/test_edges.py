@@ -166,3 +166,39 @@ def test_identities_step_equals_batch(spark):
     schema = "stream_id long, frame_id long, track_id long, ts double, x1 double, y1 double, x2 double, y2 double, best_label string, sim double"
     batch = tracks.track_identities(spark.createDataFrame(rows, schema)).orderBy("frame_id").collect()
     assert [(r.shown, r.status, r.name) for r in batch] == [(r["shown"], r["status"], r["name"]) for r in out]
+
+
+def test_sticky_rates_as_a_stream(spark, sf_dir, tmp_path):
+    from perceptra.plans.fixtures import fixture
+
+    sent = fixture(spark, sf_dir, "messages").where("stream_id < 4").withColumn("ts", F.col("ts").cast("timestamp"))
+    build = lambda s: stateful.parse_remote_audio(s, idle_ms=10**10)
+    found = replay(spark, sent, tmp_path, build, "stream_id long, ts timestamp, audio binary, rate int, language_code string")
+    expected = speech.parse_remote_audio(sent)
+    row = lambda r: (r.stream_id, r.ts, bytes(r.audio), r.rate, r.language_code)
+    assert sorted(map(row, found.collect())) == sorted(map(row, expected.where("audio is not null").collect()))
+
+
+def test_eviction_as_a_stream(spark, sf_dir, tmp_path):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id < 4").select(
+        F.lit(0).cast("long").alias("stream_id"), F.col("user_id").cast("long").alias("track_id"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    build = lambda s: stateful.evict_stale(s, 36_000.0, idle_ms=10**10)
+    found = replay(spark, rows, tmp_path, build, "stream_id long, track_id long, ts timestamp, episode long")
+    expected = tracks.evict_stale(rows, 36_000.0)
+    row = lambda r: (r.track_id, r.ts, r.episode)
+    assert sorted(map(row, found.collect())) == sorted(map(row, expected.collect()))
+
+
+def test_rechunking_as_a_stream(spark, sf_dir, tmp_path):
+    from perceptra.plans.fixtures import fixture
+
+    rows = fixture(spark, sf_dir, "audio_chunks").where("stream_id < 4").select(
+        F.col("stream_id").cast("long").alias("stream_id"), F.lit(0).cast("long").alias("connection"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"),
+        F.col("ts").cast("timestamp").alias("ts"), F.repeat(F.lpad(F.col("chunk_id").cast("string"), 8, "0"), 3).cast("binary").alias("payload"),
+    )
+    build = lambda s: stateful.rechunk_audio(s, 20, idle_ms=10**10)
+    found = replay(spark, rows, tmp_path, build, "stream_id long, connection long, seq long, ts timestamp, chunk binary")
+    expected = speech.rechunk_audio(rows, 20)
+    row = lambda r: (r.stream_id, r.seq, bytes(r.chunk))
+    assert sorted(map(row, found.collect())) == sorted(map(row, expected.collect())) != []
