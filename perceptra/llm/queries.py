@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from perceptra.llm import (
     codec,
+    decontamination,
     divergence,
     licences,
     packing,
@@ -64,6 +65,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op12_winnowing": op12_winnowing,
     "pipeline": pipeline,
 }
 
@@ -97,4 +103,4 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 #: The others are beyond SQL on whole tables; tests hold them against brute force.
-ORACLES = {"op3_block_max_topk": TOP_K_SQL, "op5_licence_digests": licences.oracle_sql()}
+ORACLES = {"op3_block_max_topk": TOP_K_SQL, "op5_licence_digests": licences.oracle_sql(), "op12_winnowing": decontamination.oracle_sql()}
