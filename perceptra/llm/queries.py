@@ -13,6 +13,7 @@ from perceptra.llm import (
     packing,
     passages,
     quality_model,
+    ranking,
     secrets,
     sharding,
     simhash,
@@ -65,6 +66,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_ranked_search": op11_ranked_search,
     "op12_winnowing": op12_winnowing,
     "pipeline": pipeline,
 }
@@ -103,4 +109,9 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 #: The others are beyond SQL on whole tables; tests hold them against brute force.
-ORACLES = {"op3_block_max_topk": TOP_K_SQL, "op5_licence_digests": licences.oracle_sql(), "op12_winnowing": decontamination.oracle_sql()}
+ORACLES = {
+    "op3_block_max_topk": TOP_K_SQL,
+    "op5_licence_digests": licences.oracle_sql(),
+    "op11_ranked_search": ranking.oracle_sql(),
+    "op12_winnowing": decontamination.oracle_sql(),
+}

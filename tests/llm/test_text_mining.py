@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from perceptra.llm import decontamination, queries
+from perceptra.llm import decontamination, queries, ranking
 
 from ..conftest import plain
 
@@ -91,7 +91,7 @@ def test_contamination_equals_brute_force(spark, block_bytes):
     assert sum(bool(r[2]) for r in found) > 60
 
 
-def test_contamination_spans_end_with_texts_and_pieces_lose_nothing(spark, monkeypatch):
+def test_contamination_spans_end_with_texts_and_pieces_lose_nothing(spark):
     docs = [(0, "x a b c"), (1, "a b c y"), (2, "b c d e f g"), (3, None)]
     left = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
     items = [("p", "a b c"), ("q", "c d e f")]
@@ -125,3 +125,67 @@ def test_contamination_query(spark, sf_dir, duck):
         [dict(doc_id=d, n_words=n, n_hit=len(h), n_items=len(i), contaminated=bool(h)) for d, n, h, i in expected],
         ["doc_id", "n_words", "n_hit", "n_items", "contaminated"],
     )
+
+
+def slow_search(docs, items, k):
+    counts = [(d, Counter(terms(t))) for d, t in docs]
+    counts = [(d, c) for d, c in counts if c]
+    n_docs, n_words = len(counts), sum(c.total() for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    wanted = defaultdict(set)
+    for name, text in items:
+        if name is not None:
+            wanted[name] |= set(terms(text))
+    out = []
+    for name, own in wanted.items():
+        scored = []
+        for d, c in counts:
+            m = 50 + 50 * c.total() * n_docs // n_words
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 20 * m)) for t in own if t in c
+            )
+            if score > 0 and d is not None:
+                scored.append((-score, d))
+        out += [(name, rank, d, -s) for rank, (s, d) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+def found_search(frame):
+    return sorted((r["item_id"], r["rank"], r.doc_id, r.score) for r in frame.collect())
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 400}, {"owners": 1}])
+def test_search_equals_brute_force(spark, options):
+    rng = random.Random(7)
+    docs = list(enumerate(text_rows(rng, 300, 40, 80) + ["", None, "w1", "w1", "w39 " * 500]))
+    docs += [(None, "w1 w2"), (3, "w5"), (3, "w5 w6")]  # no id, and an id of several texts
+    items = [(f"i{n}", t) for n, t in enumerate(text_rows(rng, 25, 60, 12))] + [("i3", "w7 w8"), (None, "w1"), ("none", None), ("unknown", "zzz")]
+    left = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    found = ranking.search(left, spark.createDataFrame(items, ITEMS), 7, range_rows=50, **options)
+    assert found_search(found) == slow_search(docs, items, 7)
+
+
+def test_search_prunes_and_bundles(spark):
+    rng = random.Random(9)
+    docs = [(i, " ".join(f"w{min(rng.randrange(400), rng.randrange(400))}" for _ in range(rng.randrange(120)))) for i in range(500)]
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(20))) for i in range(10)]
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = ranking.search(left, right, 5, bundle=3, range_rows=64)
+    assert dict(found.dtypes)["item_id"] == "bigint"
+    assert found_search(found) == slow_search(docs, items, 5)
+
+
+def test_search_on_odd_and_empty_tables(spark, odd, none):
+    items = spark.createDataFrame([("1", "one TWO three"), (None, "a"), ("2", None), ("3", "É é a")], ITEMS).withColumn("doc_id", F.lit("z"))
+    found = ranking.search(odd, items)
+    assert found.columns == ["item_id", "rank", "doc_id", "score"]
+    expected = slow_search([(r.doc_id, r.text) for r in odd.collect()], [(r["item_id"], r.text) for r in items.collect()], 50)
+    assert found_search(found) == expected and {r[0] for r in expected} == {"1", "3"}
+    assert ranking.search(none, items).count() == 0
+    assert ranking.search(odd, spark.createDataFrame([], ITEMS)).count() == 0
+
+
+def test_search_query(spark, sf_dir, duck):
+    found = queries.QUERIES["op11_ranked_search"](spark, sf_dir)
+    docs, items = (duck.sql(f"SELECT {a}, text FROM {b}").fetchall() for a, b in (("doc_id", "documents"), ("item_id", "benchmark")))
+    assert found_search(found) == slow_search(docs, items, 50)
