@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from perceptra.llm import (
     codec,
+    collocations,
     decontamination,
     divergence,
     licences,
@@ -74,6 +75,10 @@ def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,6 +98,7 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_ranked_search": op11_ranked_search,
     "op12_winnowing": op12_winnowing,
+    "op13_collocations": op13_collocations,
     "pipeline": pipeline,
 }
 
@@ -114,4 +120,5 @@ ORACLES = {
     "op5_licence_digests": licences.oracle_sql(),
     "op11_ranked_search": ranking.oracle_sql(),
     "op12_winnowing": decontamination.oracle_sql(),
+    "op13_collocations": collocations.oracle_sql(),
 }

@@ -6,10 +6,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from perceptra.llm import decontamination, queries, ranking
+from perceptra.llm import collocations, decontamination, queries, ranking
+from perceptra.llm.tries import Trie
 
 from ..conftest import plain
 
@@ -189,3 +191,75 @@ def test_search_query(spark, sf_dir, duck):
     found = queries.QUERIES["op11_ranked_search"](spark, sf_dir)
     docs, items = (duck.sql(f"SELECT {a}, text FROM {b}").fetchall() for a, b in (("doc_id", "documents"), ("item_id", "benchmark")))
     assert found_search(found) == slow_search(docs, items, 50)
+
+
+def test_trie_follows_every_phrase():
+    rng = np.random.default_rng(1)
+    for n, length, words in ((1, 2, 5), (400, 2, 30), (2000, 3, 60), (3000, 5, 9), (5000, 2, 70_000)):
+        phrases = np.unique(np.minimum(rng.zipf(1.3, (n, length)), words), axis=0)
+        trie, states = Trie.of(phrases)
+        assert len(np.unique(states)) == len(phrases)
+        codes = np.minimum(rng.zipf(1.3, 4000), 2 * words) * (rng.random(4000) > 0.1)
+        codes = np.concatenate([codes, phrases[:200].ravel()]).astype(np.int32)
+        known = {tuple(p): s for p, s in zip(phrases.tolist(), states.tolist(), strict=True)}
+        at, state = trie.follow(codes, np.flatnonzero(codes > 0))
+        places = [tuple(codes[i : i + length].tolist()) for i in range(len(codes) - length + 1)]
+        assert list(zip(at.tolist(), state.tolist(), strict=True)) == [(i, known[p]) for i, p in enumerate(places) if p in known]
+
+
+def slow_collocations(docs, least, top):
+    """(lang, rank, phrase, a, l, r, n, score) by counting every phrase of every length."""
+    out = []
+    by_lang = defaultdict(list)
+    for text, lang in docs:
+        by_lang["und" if lang is None else lang].append(text)
+    for lang, texts in by_lang.items():
+        f = Counter()
+        for text in texts:
+            for piece in re.split("[.,;:!?\x0a-\x0d]", low(text)):
+                own = re.findall(r"[^\x20\x09]+", piece)
+                f.update(tuple(own[i : i + m]) for m in range(1, 6) for i in range(len(own) - m + 1))
+        n = sum(c for w, c in f.items() if len(w) == 1)
+        found = {w: a for w, a in f.items() if len(w) > 1 and a >= least}
+        scored = []
+        for w, a in found.items():
+            longer = (b for v, b in found.items() if len(v) > len(w) and any(v[i : i + len(w)] == w for i in range(len(v) - len(w) + 1)))
+            if not any(b >= a for b in longer):
+                score, _, left, right = min((1000 * a * n // (f[w[:k]] * f[w[k:]]), k, f[w[:k]], f[w[k:]]) for k in range(1, len(w)))
+                scored.append((-score, -a, " ".join(w).encode(), left, right))
+        out += [(lang, k, p.decode(), -a, le, ri, n, -s) for k, (s, a, p, le, ri) in enumerate(sorted(scored)[:top], 1)]
+    return sorted(out)
+
+
+def found_collocations(frame):
+    return sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in frame.collect())
+
+
+@pytest.mark.parametrize("options", [{}, {"buckets": 16, "trie_phrases": 7}, {"most_words": 0}])
+def test_collocations_equal_brute_force(spark, options):
+    rng = random.Random(11)
+    texts = text_rows(rng, 120, 6, 60) + ["w1 w2 w3 w4 w5 w1 w2 w3 w4 w5 W1\tw2 w3 w4 w5"] * 9 + ["a\x01b \x01c \x01c é", "w0 " * 200, "a" * 3000, None, ""]
+    docs = [(t, rng.choice(("en", "en", "fr", None, "und"))) for t in texts]
+    frame = spark.createDataFrame(docs, "text string, lang string").repartition(3)
+    found = found_collocations(collocations.collocations(frame, 8, 15, **options))
+    assert found == slow_collocations(docs, 8, 15) and {r[0] for r in found} == {"en", "fr", "und"} and max(r[1] for r in found) == 15
+
+
+def test_collocation_scores_are_exact(spark):
+    """1000 * a * n beyond 64 bits."""
+    frame = spark.createDataFrame([(3_000_000_000_001, 7_000_000_000_003, 2_999_999, 11)], "a long, n long, l long, r long")
+    text = "(1000 * cast(a as decimal(18,0)) * cast(n as decimal(18,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))"
+    assert frame.selectExpr(text).first()[0] == 1000 * 3_000_000_000_001 * 7_000_000_000_003 // (2_999_999 * 11)
+
+
+def test_collocations_on_odd_and_empty_tables(spark, odd, none):
+    found = collocations.collocations(odd, 2)
+    assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert found_collocations(found) == slow_collocations([(r.text, r.lang) for r in odd.collect()], 2, 2000)
+    assert collocations.collocations(none).count() == 0
+    assert collocations.collocations(odd, 10_000).count() == 0
+
+
+def test_collocation_query(spark, sf_dir, duck):
+    found = queries.QUERIES["op13_collocations"](spark, sf_dir)
+    assert found_collocations(found) == slow_collocations(duck.sql("SELECT text, lang FROM documents").fetchall(), 100, 2000)
