@@ -247,9 +247,9 @@ def test_collocations_equal_brute_force(spark, options):
 
 def test_collocation_scores_are_exact(spark):
     """1000 * a * n beyond 64 bits."""
-    frame = spark.createDataFrame([(3_000_000_000_001, 7_000_000_000_003, 2_999_999, 11)], "a long, n long, l long, r long")
+    frame = spark.createDataFrame([(3_000_000_000_001, 7_000_000_000_003, 2_999_999_999_999, 11_000_000_007)], "a long, n long, l long, r long")
     text = "(1000 * cast(a as decimal(18,0)) * cast(n as decimal(18,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))"
-    assert frame.selectExpr(text).first()[0] == 1000 * 3_000_000_000_001 * 7_000_000_000_003 // (2_999_999 * 11)
+    assert frame.selectExpr(text).first()[0] == 1000 * 3_000_000_000_001 * 7_000_000_000_003 // (2_999_999_999_999 * 11_000_000_007)
 
 
 def test_collocations_on_odd_and_empty_tables(spark, odd, none):
