@@ -221,10 +221,12 @@ def slow_collocations(docs, least, top):
                 f.update(tuple(own[i : i + m]) for m in range(1, 6) for i in range(len(own) - m + 1))
         n = sum(c for w, c in f.items() if len(w) == 1)
         found = {w: a for w, a in f.items() if len(w) > 1 and a >= least}
-        scored = []
+        scored, longer = [], Counter()
+        for v, b in found.items():
+            for w in (v[i : i + m] for m in range(2, len(v)) for i in range(len(v) - m + 1)):
+                longer[w] = max(longer[w], b)
         for w, a in found.items():
-            longer = (b for v, b in found.items() if len(v) > len(w) and any(v[i : i + len(w)] == w for i in range(len(v) - len(w) + 1)))
-            if not any(b >= a for b in longer):
+            if longer[w] < a:
                 score, _, left, right = min((1000 * a * n // (f[w[:k]] * f[w[k:]]), k, f[w[:k]], f[w[k:]]) for k in range(1, len(w)))
                 scored.append((-score, -a, " ".join(w).encode(), left, right))
         out += [(lang, k, p.decode(), -a, le, ri, n, -s) for k, (s, a, p, le, ri) in enumerate(sorted(scored)[:top], 1)]
