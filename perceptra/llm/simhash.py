@@ -10,8 +10,11 @@ The posting lists of single bytes would each hold 1/256 of a corpus, so a list
 of the index stands for three bytes in place (or as many bits). The pairs that
 meet in a list are counted: the bytes that they share in place are tallied,
 pairs below the guaranteed minimum go, and only the others are verified on
-their bits. Lists yield links that span what is linked, never all their pairs,
-and long lists are dealt into blocks.
+their bits. Lists yield links that span what is linked, never all their pairs.
+A crowded list is split by each group of the bits that its key leaves open, the
+other bytes first, as linked members share one of the groups. What is crowded
+after three splittings, or where links are not bound to so few bits, is dealt
+into blocks that are compared pair by pair.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from perceptra.llm.passages import shingle_hashes
 
 #: Fingerprints of one posting list that one task compares with one another.
 BLOCK = 2048
+#: How often a crowded list is split. Each time a member's rows are five; lists fall to 1/256, 1/64 and 1/32 of their length.
+SPLITS = 3
 _FAR = np.uint16(65535)
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -122,17 +127,27 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * np.concatenate(ones) > len(hashes), bitorder="little").tobytes()
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, text): a row is known by its doc_id and its text, as several texts may have one doc_id."""
+    text = F.col("text").cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the eight bytes of every row's fingerprint, the highest first."""
+    """(doc_id, digest, fp): the eight bytes of every row's fingerprint, the highest first."""
 
     def run(batches):
         for batch in small(batches):
-            found = [fingerprint(t, shingle, seed).to_bytes(8, "big") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "fp"])
+            found = [fingerprint(t, shingle, seed).to_bytes(8, "big") for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["doc_id", "digest", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(
-        run, "doc_id long, fp binary"
-    )
+    return _named(docs).mapInArrow(run, "doc_id long, digest long, fp binary")
+
+
+def _values(prints: DataFrame) -> DataFrame:
+    """(fp, least): each distinct fingerprint with its first row, by doc_id and digest; null where no row has a doc_id."""
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest"))
+    return materialise(prints.groupBy("fp").agg(F.min(row).alias("least")))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -229,7 +244,8 @@ def links(values: DataFrame, scheme: Scheme) -> DataFrame:
         k = 0 if keys is None else len(keys)
         src = pa.concat_arrays([_binary(one[:, : width // 8]), pa.nulls(k, pa.binary())])
         dst = pa.concat_arrays([_binary(one[:, width // 8 :]), _binary(members) if k else pa.nulls(0, pa.binary())])
-        key = pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(keys if k else [], pa.int64())])
+        kind = pa.int64() if keys is None or keys.dtype == np.int64 else pa.binary()
+        key = pa.concat_arrays([pa.nulls(len(one), kind), pa.array(keys if k else [], kind)])
         return pa.RecordBatch.from_arrays([key, src, dst], ["key", "src", "dst"])
 
     def meet(batches):
@@ -255,18 +271,98 @@ def links(values: DataFrame, scheme: Scheme) -> DataFrame:
             yield emit(*_list_links(rows, np.array([0]), np.array([len(key)]), scheme))
 
     spark = values.sparkSession
+    shape = "key long, src binary, dst binary"
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lists = values.select("fp").repartition(parts, "fp").mapInArrow(postings, "key long, fp binary").repartition("key")
-    met = materialise(lists.sortWithinPartitions("key").mapInArrow(meet, "key long, src binary, dst binary"))
+    met = materialise(lists.sortWithinPartitions("key").mapInArrow(meet, shape))
     found = met.where("key is null").select("src", "dst")
     crowded = met.where("key is not null").select("key", F.col("dst").alias("fp"))
-    if not crowded.isEmpty():
-        found = found.union(_crowded(crowded, scheme))
-    return found.distinct()
+    if crowded.isEmpty():
+        return found.distinct()
+    if scheme.sure < scheme.most:
+        return found.union(_crowded(crowded, scheme)).distinct()
+    for _ in range(SPLITS):
+        # A list's key is its path of groups and what its members share; lists are dealt out by its hash.
+        split = crowded.mapInArrow(_split_by(scheme), "key binary, fp binary")
+        lists = split.select(F.xxhash64("key").alias("hash"), "key", "fp").repartition("hash").sortWithinPartitions("hash", "key")
+        met = materialise(lists.select("key", "fp").mapInArrow(_meet_split(scheme, emit), "key binary, src binary, dst binary"))
+        found = found.union(met.where("key is null").select("src", "dst"))
+        crowded = met.where("key is not null").select("key", F.col("dst").alias("fp"))
+        if crowded.isEmpty():
+            return found.distinct()
+    return found.union(_crowded(crowded.withColumn("key", F.xxhash64("key")), scheme)).distinct()
+
+
+def _undecided(path: bytes, scheme: Scheme) -> list[np.ndarray]:
+    """The bits of which the members of a list may differ, in groups, one of which every linked pair shares.
+
+    ``path`` is the list's place in ``scheme.keys`` and then a group at each
+    further splitting. With ``most`` differing bits in all, one of ``most`` + 1
+    groups of the undecided bits has none.
+    """
+    known = [b for p in scheme.keys[path[0]] for b in range(p * scheme.unit, (p + 1) * scheme.unit)]
+    left = np.setdiff1d(np.arange(scheme.bits), known)
+    for g in path[1:]:
+        left = np.concatenate([x for i, x in enumerate(np.array_split(left, scheme.most + 1)) if i != g])
+    return np.array_split(left, scheme.most + 1)
+
+
+def _split_by(scheme: Scheme):
+    """Members of crowded lists to a shorter list for each group of undecided bits: its key is the path, and what is shared there.
+
+    The first groups are the bytes in place that the key leaves out.
+    """
+    width, shift = scheme.bits // 8, scheme.unit * len(scheme.keys[0])
+
+    def run(batches):
+        for batch in small(batches):
+            keys = batch.column(0).to_pylist()
+            rows = _matrix(batch.column(1), width)
+            bits = np.unpackbits(rows.view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+            by_list: dict = {}
+            for i, key in enumerate(keys):
+                by_list.setdefault(key, []).append(i)
+            out, place = [], []
+            for key, own in by_list.items():
+                path = bytes([key >> shift]) if isinstance(key, int) else key[1 : 1 + key[0]]
+                shared = key.to_bytes(8, "big") if isinstance(key, int) else key[1 + key[0] :]
+                for g, group in enumerate(_undecided(path, scheme)):
+                    for i, value in zip(own, np.packbits(bits[np.ix_(own, group)], axis=1), strict=True):
+                        out.append(bytes([len(path) + 1]) + path + bytes([g]) + shared + value.tobytes())
+                        place.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), _binary(rows[np.array(place, np.int64)])], ["key", "fp"])
+
+    return run
+
+
+def _meet_split(scheme: Scheme, emit):
+    """Rows sorted by list: links within short lists; the members of lists of over BLOCK go on, and are not held."""
+    width = scheme.bits // 8
+
+    def run(batches):
+        key, rows, long = np.empty(0, object), np.empty((0, width // 8), np.uint64), None
+        nothing = np.empty((0, width // 8), np.uint64)
+        for batch in batches:
+            key = np.concatenate([key, np.array(batch.column(0).to_pylist(), object)])
+            rows = np.concatenate([rows, _matrix(batch.column(1), width)])
+            if not len(key):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            crowded = np.repeat((sizes > BLOCK) | (key[starts] == long), sizes)
+            fine = (sizes > 1) & (starts < starts[-1]) & ~crowded[starts]
+            yield emit(*_list_links(rows, starts[fine], sizes[fine], scheme), key[crowded], rows[crowded])
+            long = key[-1] if crowded[-1] else long
+            stay = (np.arange(len(key)) >= starts[-1]) & ~crowded
+            key, rows = key[stay], rows[stay]
+        if len(key) > 1:
+            yield emit(*_list_links(rows, np.array([0]), np.array([len(key)]), scheme), np.empty(0, object), nothing)
+
+    return run
 
 
 def _crowded(members: DataFrame, scheme: Scheme) -> DataFrame:
-    """(src, dst) of the posting lists of over BLOCK members.
+    """(src, dst) of the posting lists of over BLOCK members, where no part must be shared.
 
     The lists are dealt into blocks; each pair of blocks is one unit of work,
     so no list is gathered whole.
@@ -308,15 +404,15 @@ def _crowded(members: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def _components(prints: DataFrame, values: DataFrame, linked: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``prints``: the smallest doc_id reachable.
+    """(doc_id, digest, fp, least) of every row of ``prints``: the first row reachable.
 
     A fingerprint that many rows share is sent to where they are.
     """
     groups = connected_components(linked).withColumnRenamed("node", "fp")
-    named = groups.join(values, "fp").groupBy("component").agg(F.min("least_id").alias("least_of_all"))
+    named = groups.join(values, "fp").groupBy("component").agg(F.min("least").alias("least_of_all"))
     member = groups.join(named, "component").select("fp", "least_of_all")
     ids = materialise(
-        values.join(member, "fp", "left").select("fp", F.coalesce("least_of_all", "least_id").alias("component_id"))
+        values.join(member, "fp", "left").select("fp", F.coalesce("least_of_all", "least").alias("least"))
     )
     return join_hot(prints, prints, ids, ["fp"], F.lit(64))
 
@@ -333,30 +429,45 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, shingle: int = 4, seed:
     table gives no rows. Other columns of ``docs`` are not read.
     """
     prints = materialise(fingerprints(docs, shingle, seed))
-    values = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    found = _components(prints, values, links(values, exact_scheme(max_bits)))
-    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return _exact(prints, max_bits).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
+
+
+def _exact(prints: DataFrame, max_bits: int) -> DataFrame:
+    values = _values(prints)
+    return _components(prints, values, links(values, exact_scheme(max_bits)))
 
 
 def _first_of_group(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's, once each, and those that ``found`` (doc_id, component_id) lacks."""
-    state = found.where("doc_id is not null").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("times_"), F.min(F.col("component_id") == F.col("doc_id")).alias("first_")
+    """``docs`` without the rows that ``found`` (doc_id, digest, least) leads to another row, and with one of equal rows.
+
+    Rows are told apart by doc_id and text. Of rows equal in both the one with
+    the smallest hash of all its columns stays, so that a second run keeps the
+    same.
+    """
+    row, group = F.struct("doc_id", "digest"), F.col("least")
+    state = found.where("doc_id is not null").groupBy("doc_id", "digest").agg(
+        F.count(F.lit(1)).alias("times"), F.bool_and(row == group).alias("first")
     )
-    state = materialise(state.where("times_ > 1 or not first_"))
-    rest = docs.join(state.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.join(state.where("first_").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    return rest.unionByName(repeated.dropDuplicates(["doc_id"]))
+    long = "_" * max(map(len, docs.columns))  # no column of docs has these names
+    id_, digest, kept = "id" + long, "digest" + long, "row" + long
+    state = materialise(state.where("times > 1 or not first").select(F.col("doc_id").alias(id_), F.col("digest").alias(digest), "first"))
+    same = (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64(F.col("text").cast("binary")) == F.col(digest))
+    rest = docs.join(state.drop("first"), same, "left_anti")
+    repeated = docs.join(state.where("first").drop("first"), same)
+    order = F.xxhash64(*(f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")))
+    repeated = repeated.groupBy(id_, digest).agg(F.min_by(F.struct(*docs.columns), order).alias(kept))
+    return rest.select(*docs.columns).unionByName(repeated.select(*(F.col(kept)[c].alias(c) for c in docs.columns)))
 
 
 def keep_one(docs: DataFrame, max_bits: int = 4) -> DataFrame:
-    """``docs`` without near-copies by fingerprint: of each group the row with the smallest doc_id stays.
+    """``docs`` without near-copies by fingerprint: of each group the first row by doc_id and digest of its text stays.
 
     Columns stay as they are. Rows with a null doc_id always stay, as no group
-    can name them; of rows that repeat a doc_id one stays; null and empty
-    texts are one group; an empty table gives no rows.
+    can name them; different texts with one doc_id are documents each, and of
+    equal texts with one doc_id one stays; null and empty texts are one group;
+    an empty table gives no rows.
     """
-    return _first_of_group(docs, near_duplicates(docs, max_bits))
+    return _first_of_group(docs, _exact(materialise(fingerprints(docs)), max_bits))
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
@@ -366,33 +477,40 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5) -
     shingles (lower case, split at ASCII white space; a text of fewer words is
     one shingle); a link needs a Jaccard similarity of ``similarity`` of the
     shingle sets themselves. Of pairs at 0.8 about nine tenths meet in the
-    index, at 0.85 all but one in fifty, above 0.9 nearly all. Null and empty
-    texts have no shingle and are alike. Repeated rows come out as often as
-    they go in; an empty table gives no rows; further columns are not read.
+    index, at 0.85 all but one in fifty, above 0.9 nearly all. Of two groups
+    that meet in a list the closest pair is compared. Null and empty texts have
+    no shingle and are alike. Different texts with one doc_id are documents
+    each. Repeated rows come out as often as they go in; an empty table gives
+    no rows; further columns are not read.
     """
-    typed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return _similar(docs, similarity, size).select("doc_id", F.col("least.doc_id").alias("component_id"))
+
+
+def _similar(docs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(doc_id, digest, fp, least) of every row with a doc_id."""
+    typed = _named(docs.where("doc_id is not null"))
 
     def prints_of(batches):
         for batch in by_size(batches):
-            found = [wide_fingerprint(x) for x in shingle_sets(batch.column(1).to_pylist(), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "fp"])
+            found = [wide_fingerprint(x) for x in shingle_sets(batch.column(2).to_pylist(), size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["doc_id", "digest", "fp"])
 
-    prints = materialise(typed.mapInArrow(prints_of, "doc_id long, fp binary"))
-    values = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    prints = materialise(typed.mapInArrow(prints_of, "doc_id long, digest long, fp binary"))
+    values = _values(prints)
     near = links(values, wide_scheme())
-    pairs = (
-        near.join(values.toDF("src", "a"), "src").join(values.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
-    )
-    pairs = materialise(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    end = lambda fp, name: values.select(F.col("fp").alias(fp), F.col("least.doc_id").alias(name), F.col("least.digest").alias(f"{name}_digest"))
+    pairs = materialise(near.join(end("src", "a"), "src").join(end("dst", "b"), "dst"))
+    wanted = pairs.select(F.explode(F.array(*(F.struct(F.col(c).alias("doc_id"), F.col(f"{c}_digest").alias("digest")) for c in "ab"))).alias("w"))
+    wanted = wanted.select("w.*").distinct()
 
     def sets_of(batches):
         for batch in by_size(batches):
-            found = [x.tobytes() for x in shingle_sets(batch.column(1).to_pylist(), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "x"])
+            found = [x.tobytes() for x in shingle_sets(batch.column(2).to_pylist(), size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["doc_id", "digest", "x"])
 
+    keys = ["doc_id", "digest"]
     sets = materialise(
-        typed.join(wanted.hint("merge"), "doc_id").mapInArrow(sets_of, "doc_id long, x binary").dropDuplicates(["doc_id"])
+        typed.join(wanted.hint("merge"), keys).mapInArrow(sets_of, "doc_id long, digest long, x binary").dropDuplicates(keys)
     )
 
     def verify(batches):
@@ -404,18 +522,19 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5) -
                 good.append(both > 0 and both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(good))
 
-    one = join_hot(pairs, pairs, sets.toDF("a", "x"), ["a"], F.octet_length("x"))
-    two = join_hot(one, pairs, sets.toDF("b", "y"), ["b"], F.octet_length("y"))
+    one = join_hot(pairs, pairs, sets.toDF("a", "a_digest", "x"), ["a", "a_digest"], F.octet_length("x"))
+    two = join_hot(one, pairs, sets.toDF("b", "b_digest", "y"), ["b", "b_digest"], F.octet_length("y"))
     with arrow_rows(docs.sparkSession, 500):
         linked = materialise(two.select("src", "dst", "x", "y").mapInArrow(verify, "src binary, dst binary"))
-    return _components(prints, values, linked).select("doc_id", "component_id")
+    return _components(prints, values, linked)
 
 
 def keep_one_similar(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group of ``similar_documents``: the one with the smallest doc_id.
+    """``docs`` with one document of each group of ``similar_documents``: the first by doc_id and digest of its text.
 
-    Columns stay as they are. Rows with a null doc_id always stay; of rows
-    that repeat a doc_id one stays, and only if all of them are the first of
-    their groups; null and empty texts are one group; an empty table gives no rows.
+    Columns stay as they are. Rows with a null doc_id always stay; different
+    texts with one doc_id are documents each, and of equal texts with one
+    doc_id one stays; null and empty texts are one group; an empty table gives
+    no rows.
     """
-    return _first_of_group(docs, similar_documents(docs, similarity))
+    return _first_of_group(docs, _similar(docs, similarity, 5))

@@ -153,6 +153,7 @@ def test_simhash_components(spark):
 @pytest.mark.parametrize("block", [8, 16, 2048])
 def test_crowded_posting_lists_across_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SPLITS", 0)
     values = [sum(1 << b for b in range(12) if i >> b & 1) for i in range(300)] + [(1 << 63) + 5, 1 << 40]
     df = spark.createDataFrame([(v.to_bytes(8, "big"),) for v in values], "fp binary")
     found = connected_components(simhash.links(df, simhash.exact_scheme(4))).collect()
@@ -658,3 +659,81 @@ def test_pipeline(spark, sf_dir):
     assert set(packed.doc_id) == set(left)
     encoder, _ = bpe.kept(queries.tokenizer())
     assert packed.length.sum() == sum(len(encoder.encode(t)) + 1 for t in left.values())
+
+
+def kept_rows(frame):
+    return sorted((r.doc_id, r.text) for r in frame.collect())
+
+
+def test_texts_that_share_a_doc_id_are_documents_each(spark):
+    """No unrelated text is lost, every copy is cut, and other partitions give the same rows."""
+    rng = random.Random(21)
+    p, other, third, *more = (prose(rng, 200) for _ in range(8))
+    rows = [(1, p), (2, p), (2, other), (3, third), (3, third), (4, more[0]), (4, more[1]), (4, more[2]), (5, other), (6, more[0].upper())]
+    wanted = [(1, p), (2, other), (3, third), (4, more[0]), (4, more[1]), (4, more[2])]
+    for parts in (1, 5):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(parts)
+        for keep in (simhash.keep_one, simhash.keep_one_similar):
+            assert kept_rows(keep(docs)) == sorted(wanted)
+    ids = [1, 2, 2, 2]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(ids, (p, other, *more), strict=False)], DOCS)
+    assert len(kept_rows(simhash.keep_one_similar(docs))) == 4
+
+
+def test_equal_rows_keep_the_same_one(spark):
+    """Rows of one doc_id and text that differ elsewhere: the same stays whatever the partitions."""
+    text = prose(random.Random(22), 100)
+    rows = [(1, text, lang, "s", n) for n, lang in enumerate(["en", "fr", "de", None])]
+    found = {simhash.keep_one_similar(spark.createDataFrame(rows, DOCS).repartition(n)).collect()[0] for n in (1, 2, 3)}
+    assert len(found) == 1
+
+
+def test_passages_of_texts_that_share_a_doc_id(spark):
+    rng = random.Random(23)
+    shared = prose(rng, 80)
+    rows = [(1, f"{prose(rng, 60)} {shared} {prose(rng, 60)}"), (2, prose(rng, 150)), (2, f"{prose(rng, 70)} {shared}"), (2, f"{shared} {prose(rng, 90)}"), (7, f"{shared} {prose(rng, 40)}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).repartition(3)
+    found = passages.near_duplicate_passages(docs).collect()
+    assert sorted({(r.doc_id, r.first_id) for r in found if r.end_word - r.start_word >= 80}) == [(2, 1), (7, 1)]
+    assert sum(r.doc_id == 2 and r.first_id == 1 and r.end_word - r.start_word >= 80 for r in found) == 2
+    cut = kept_rows(passages.cut_repeats(docs))
+    assert len(cut) == 5 and sum(shared in t for _, t in cut) == 1 and [t for i, t in cut if i == 1] == [rows[0][1]]
+    assert {i: len([t for j, t in cut if j == i]) for i in (1, 2, 7)} == {1: 1, 2: 3, 7: 1} and rows[1] in cut
+
+
+@pytest.mark.parametrize("most", [4, 2])
+def test_crowded_posting_lists_are_split(spark, monkeypatch, most):
+    """Fingerprints that share three bytes, some of them five: components as by comparing all pairs."""
+    rng = random.Random(24)
+    base = 0xABCDEF << 40
+    values = list({base | rng.getrandbits(24) << 8 | rng.getrandbits(5) for _ in range(2600)} | {base | rng.getrandbits(8) << 12 | rng.getrandbits(12) for _ in range(600)})
+    values += [v ^ sum(1 << b for b in rng.sample(range(64), 3)) for v in values[:300]]
+    values = list(dict.fromkeys(values))
+    v, group = np.array(values, np.uint64), list(range(len(values)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(v)):
+        for j in np.flatnonzero(np.bitwise_count(v[i + 1 :] ^ v[i]) <= most) + i + 1:
+            a, b = sorted((find(i), find(int(j))))
+            group[b] = a
+    rows = [(i, 0, bytearray(x.to_bytes(8, "big"))) for i, x in enumerate(values)]
+    prints = simhash.materialise(spark.createDataFrame(rows, "doc_id long, digest long, fp binary"))
+    found = simhash._exact(prints, most).select("doc_id", "least.doc_id").toDF("a", "b").collect()
+    assert {r.a: r.b for r in found} == {i: find(i) for i in range(len(values))}
+
+
+def test_splitting_a_list_is_linear(spark):
+    """Each splitting makes five rows of a member, and lists fall to a hundredth: 20,000 distinct members of one list."""
+    rng = random.Random(25)
+    values = {0xABCDEF << 40 | rng.getrandbits(40) for _ in range(20_000)}
+    scheme = simhash.exact_scheme()
+    members = spark.createDataFrame([(0xABCDEF, bytearray(x.to_bytes(8, "big"))) for x in values], "key long, fp binary")
+    split = members.mapInArrow(simhash._split_by(scheme), "key binary, fp binary")
+    sizes = [r["count"] for r in split.groupBy("key").count().collect()]
+    assert sum(sizes) == 5 * len(values) and max(sizes) < len(values) / 100
+    again = split.mapInArrow(simhash._split_by(scheme), "key binary, fp binary")
+    assert again.count() == 25 * len(values)
