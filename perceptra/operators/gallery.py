@@ -58,57 +58,75 @@ def _nearest(batch_ids: list, probes: np.ndarray, names: np.ndarray, matrix: np.
     return tuple(np.concatenate(v) for v in zip(*found, strict=True))
 
 
+def _finite(rows: DataFrame, name: str, vector: str) -> DataFrame:
+    """(id, v array<double>) of the vectors that hold numbers only, one at least."""
+    v = F.col(vector).cast("array<double>")
+    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.select(F.col(name).alias("id"), v.alias("v")).where((F.size("v") > 0) & ~odd)
+
+
+def _by_length(table: pa.Table, names: bool = True) -> dict[int, tuple]:
+    """Length -> (ids or places of the rows, matrix) of a table (id, v) without nulls in v."""
+    if not table.num_rows:
+        return {}
+    lists = table.column(1).combine_chunks()
+    offsets = lists.offsets.to_numpy()
+    flat, sizes = lists.flatten().to_numpy(), np.diff(offsets)
+    out = {}
+    for length in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == length)
+        matrix = flat[(offsets[rows] - offsets[0])[:, None] + np.arange(length)]
+        out[length] = (table.column(0).take(pa.array(rows)).to_pylist() if names else rows), matrix
+    return out
+
+
 def nearest(
     probes: DataFrame, probe_id: str, candidates: DataFrame, candidate_id: str, k: int = 1,
     probe_vector: str = "embedding", candidate_vector: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(probe_id, candidate_id, score, rank): the ``k`` largest inner products; ties to the smaller id.
 
-    The candidates are counted first. Up to ``broadcast_bytes`` they go to
-    every executor as one matrix. Beyond, they are dealt into blocks of some
+    The candidates are measured first. Up to ``broadcast_bytes`` they go to
+    every executor as matrices. Beyond, they are dealt into blocks of some
     ``BLOCK`` vectors, probes meet each block through an equal key, and the
-    best of each block are ranked: memory stays that of two blocks. Null
-    vectors take no part on either side.
+    best of each block are ranked: memory stays that of two blocks. Vectors
+    that are null or empty or hold a null or a component that is not finite
+    take no part on either side; vectors of different lengths do not meet.
     """
-    probes, candidates = probes.where(F.col(probe_vector).isNotNull()), candidates.where(F.col(candidate_vector).isNotNull())
     kind = dict(candidates.dtypes)[candidate_id]
     probe_kind = dict(probes.dtypes)[probe_id]
     schema = f"probe {probe_kind}, candidate {kind}, score double"
     probe_arrow, name_arrow = (to_arrow_type(d.schema[c].dataType) for d, c in ((probes, probe_id), (candidates, candidate_id)))
-    own = candidates.select(F.col(candidate_id).alias("id"), F.col(candidate_vector).cast("array<double>").alias("v"))
-    asked = probes.select(F.col(probe_id).alias("id"), F.col(probe_vector).cast("array<double>").alias("v"))
-    size = own.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    own, asked = _finite(candidates, candidate_id, candidate_vector), _finite(probes, probe_id, probe_vector)
+    size = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("components")).first()
     if not size.n:
         found = probes.sparkSession.createDataFrame([], schema)
-    elif size.n * size.d * 8 <= broadcast_bytes:
-        rows = own.orderBy("id").collect()
-        known = probes.sparkSession.sparkContext.broadcast(
-            ([r.id for r in rows], np.array([r.v for r in rows], float))
-        )
+    elif size.components * 8 <= broadcast_bytes:
+        known = probes.sparkSession.sparkContext.broadcast(_by_length(own.orderBy("id").toArrow().combine_chunks()))
 
         def run(batches):
-            names, matrix = known.value
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                if not ids:
-                    continue
-                r, c, s = _nearest(ids, np.array(batch.column(1).to_pylist(), float), names, matrix, k)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(r)), pa.array([names[i] for i in c], name_arrow), pa.array(s)],
-                    ["probe", "candidate", "score"],
-                )
+                for length, (place, asked_) in _by_length(pa.Table.from_batches([batch]).combine_chunks(), False).items():
+                    if length not in known.value:
+                        continue
+                    names, matrix = known.value[length]
+                    r, c, s = _nearest(place, asked_, names, matrix, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(place[r])), pa.array([names[i] for i in c], name_arrow), pa.array(s)],
+                        ["probe", "candidate", "score"],
+                    )
 
         found = asked.mapInArrow(run, schema)
     else:
         blocks = -(-size.n // BLOCK)
-        packed = own.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(
+        packed = own.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.size("v").alias("length")).agg(
             F.array_sort(F.collect_list(F.struct("id", "v"))).alias("own")
         )
         groups = max(1, asked.count() // BLOCK)
-        spread = asked.groupBy(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).alias("g")).agg(
+        spread = asked.groupBy(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).alias("g"), F.size("v").alias("length")).agg(
             F.collect_list(F.struct("id", "v")).alias("asked")
         )
-        spread = spread.select("asked", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
+        spread = spread.select("asked", "length", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
 
         def meet(batches):
             for batch in batches:
@@ -122,7 +140,7 @@ def nearest(
                         ["probe", "candidate", "score"],
                     )
 
-        found = spread.join(packed, "block").select("asked", "own").mapInArrow(meet, schema)
+        found = spread.join(packed, ["block", "length"]).select("asked", "own").mapInArrow(meet, schema)
     best = Window.partitionBy("probe").orderBy(F.desc("score"), "candidate")
     return (
         found.withColumn("rank", F.row_number().over(best))

@@ -2,8 +2,11 @@
 
 Each has a batch form in ``perceptra.operators`` that gives the same rows when
 the stream comes in order. State is kept per key; rows later than the
-watermark are dropped, and state idle for longer than ``idle`` past the
-watermark is removed.
+watermark are dropped, and of state idle for longer than ``idle_ms`` past the
+watermark only what the operator's ``rest`` keeps is left, so that a closed
+gate, a rate that was set or an episode's number outlive the idleness.
+``perceptra.streaming.ordered`` has forms that also bring rows of different
+micro-batches into order and count the late ones.
 """
 
 from __future__ import annotations
@@ -24,18 +27,20 @@ Step = Callable[[dict, dict], dict | None]
 
 
 def keyed_state(
-    stream: DataFrame, key: list[str], output: str, step: Step, delay: str = "10 seconds", idle_ms: int = 300_000, order: tuple[str, ...] = ("ts",)
-) -> DataFrame:
+    stream: DataFrame, key: list[str], output: str, step: Step, delay: str = "10 seconds", idle_ms: int = 300_000,
+    order: tuple[str, ...] = ("ts",), rest: Callable[[dict], dict | None] = lambda state: None,
+) -> DataFrame:
     """Apply ``step(state, row) -> output row or None`` to each key's rows in order of time.
 
     The state is a JSON object of the step's own. ``stream`` needs a timestamp
-    column ``ts``.
+    column ``ts``. ``rest(state)`` is what is kept of an idle key, or None.
     """
     columns = [part.strip().split(" ")[0] for part in output.split(",")]
 
     def run(_, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
-            held.remove()
+            left = rest(json.loads(held.get[0]))
+            held.update((json.dumps(left),)) if left else held.remove()
             return
         state = json.loads(held.get[0]) if held.exists else {}
         out = []
@@ -57,6 +62,10 @@ def keyed_state(
     )
 
 
+def _all(state: dict) -> dict:
+    return state
+
+
 def gate_step(interrupt: bool = False) -> Step:
     """Rows of both feeds: ``status_speaker`` set on statuses, ``chunk_id`` on chunks."""
 
@@ -75,7 +84,8 @@ def gate_step(interrupt: bool = False) -> Step:
 
 def gate_audio(merged: DataFrame, interrupt: bool = False, **options) -> DataFrame:
     """(stream_id, ts, chunk_id) of chunks recorded while the gate is open; ``merged`` holds chunks and statuses."""
-    return keyed_state(merged, ["stream_id"], "stream_id long, ts timestamp, chunk_id long", gate_step(interrupt), **options)
+    schema = "stream_id long, ts timestamp, chunk_id long"
+    return keyed_state(merged, ["stream_id"], schema, gate_step(interrupt), rest=lambda s: None if s.get("open", True) else s, **options)
 
 
 def sticky_step(default_rate: int, default_language: str) -> Step:
@@ -96,7 +106,7 @@ def parse_remote_audio(messages: DataFrame, default_rate: int = 16000, default_l
     )
     rows = parsed.select("stream_id", "ts", F.unbase64("m_.audio").alias("audio"), "m_.rate", "m_.language_code")
     schema = "stream_id long, ts timestamp, audio binary, rate int, language_code string"
-    return keyed_state(rows, ["stream_id"], schema, sticky_step(default_rate, default_language), **options)
+    return keyed_state(rows, ["stream_id"], schema, sticky_step(default_rate, default_language), rest=_all, **options)
 
 
 def smooth_step(n: int = 5, max_age_s: float = 2.0, ratio: float = 0.5) -> Step:
@@ -112,7 +122,7 @@ def smooth_step(n: int = 5, max_age_s: float = 2.0, ratio: float = 0.5) -> Step:
 
 def smooth_falls(scores: DataFrame, n: int = 5, max_age_s: float = 2.0, ratio: float = 0.5, **options) -> DataFrame:
     schema = "track_id long, ts timestamp, is_fallen boolean, smoothed boolean"
-    return keyed_state(scores, ["track_id"], schema, smooth_step(n, max_age_s, ratio), **options)
+    return keyed_state(scores, ["track_id"], schema, smooth_step(n, max_age_s, ratio), rest=_all, **options)
 
 
 def episode_step(max_age_s: float = 5.0) -> Step:
@@ -128,7 +138,7 @@ def episode_step(max_age_s: float = 5.0) -> Step:
 
 def evict_stale(tracks: DataFrame, max_age_s: float = 5.0, **options) -> DataFrame:
     schema = "stream_id long, track_id long, ts timestamp, episode long"
-    return keyed_state(tracks, ["stream_id", "track_id"], schema, episode_step(max_age_s), **options)
+    return keyed_state(tracks, ["stream_id", "track_id"], schema, episode_step(max_age_s), rest=_all, **options)
 
 
 def rechunk_step(size: int) -> Step:
@@ -143,7 +153,7 @@ def rechunk_step(size: int) -> Step:
 
 def rechunk_audio(pcm: DataFrame, samples: int, width: int = 2, **options) -> DataFrame:
     schema = "stream_id long, connection long, seq long, ts timestamp, chunk binary"
-    return keyed_state(pcm, ["stream_id", "connection"], schema, rechunk_step(samples * width), order=("seq",), **options)
+    return keyed_state(pcm, ["stream_id", "connection"], schema, rechunk_step(samples * width), order=("seq",), rest=_all, **options)
 
 
 def identity_step(rule: IdentityRule) -> Step:
@@ -171,7 +181,7 @@ def track_identities(observations: DataFrame, rule: IdentityRule | None = None,
     """Status and names of every track in every frame; boxes that are empty must be left out before."""
     schema = "stream_id long, frame_id long, track_id long, shown string, status string, name string, sim double, attempts long"
     return keyed_state(
-        observations, ["stream_id", "track_id"], schema, identity_step(rule or IdentityRule()), order=("frame_id",), **options
+        observations, ["stream_id", "track_id"], schema, identity_step(rule or IdentityRule()), order=("frame_id",), rest=_all, **options
     )
 
 

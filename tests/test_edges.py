@@ -40,6 +40,31 @@ def test_nearest_by_blocks_equals_broadcast(spark):
     assert same(one.collect()) == same(many.collect())
 
 
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_nearest_leaves_out_odd_vectors(spark, broadcast_bytes, k):
+    """NaN, infinite and null components, empty and null vectors and other lengths: neither best match nor failure."""
+    nan, inf = float("nan"), float("inf")
+    good = {1: [1.0, 0.0], 2: [0.0, 1.0], 3: [0.6, 0.8], 4: [1.0, 0.0, 0.0]}
+    odd = {5: [nan, 1.0], 6: [inf, 0.0], 7: [None, 1.0], 8: [], 9: None, 10: [-inf, nan]}
+    rows = [(i, v) for i, v in {**good, **odd}.items()]
+    left = spark.createDataFrame(rows, "id long, embedding array<double>")
+    right = spark.createDataFrame(rows, "other long, embedding array<double>")
+    found = gallery.nearest(left, "id", right, "other", k, broadcast_bytes=broadcast_bytes).collect()
+    expected = set()
+    for i, v in good.items():
+        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in good.items() if len(w) == len(v))
+        expected |= {(i, j, n + 1) for n, (_, j) in enumerate(scores[:k])}
+    assert {(r.id, r.other, r["rank"]) for r in found} == expected
+    named = gallery.match_gallery(left, right.toDF("label", "centroid"), 0.5, "id").collect()
+    assert {r.id: r.label for r in named} == {1: "1", 2: "2", 3: "3", 4: "4"}
+
+
+def test_unique_names(spark):
+    rows = spark.createDataFrame([("ann", 3), ("ann", 1), ("bob", 2), ("ann", 7)], "name string, position long")
+    assert {(r.position, r.unique_name) for r in gallery.unique_names(rows).collect()} == {(1, "ann"), (3, "ann_1"), (7, "ann_2"), (2, "bob")}
+
+
 def test_too_few_keypoints(spark):
     rows = spark.createDataFrame([(0, 0.0, 0.0, 9.0, 9.0, [(1.0, 1.0, 0.9)] * 2 + [(1.0, 1.0, 0.1)] * 15)],
                                  f"i long, x1 double, y1 double, x2 double, y2 double, keypoints {pose.KEYPOINTS}")
