@@ -2,6 +2,8 @@
 
 Rows are dealt by key and sorted within partitions; Arrow batches of any cut
 are read one after the other. A key of any length takes the memory of its state.
+Where steps compose, ``cut_times`` and ``segmented`` deal the time of a large key
+into parts of as many rows, whose results are carried on from part to part.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -45,6 +48,32 @@ def walk(
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+#: Parts that a key's time is cut into at most.
+PARTS = 256
+
+
+def cut_times(rows: DataFrame, keys: list[str], ts: str, segment_rows: int) -> DataFrame:
+    """(keys..., edges): where to cut the times of the keys of over ``segment_rows`` rows, so that parts hold as many rows each.
+
+    There are no more such keys than the rows divided by ``segment_rows``.
+    """
+    shares = F.array(*(F.lit(i / PARTS) for i in range(1, PARTS)))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"), F.percentile_approx(ts, shares, 10_000).alias("edges_"))
+    step = F.greatest(F.lit(1), F.floor(PARTS * segment_rows / F.col("n_"))).cast("int")
+    chosen = F.array_distinct(F.filter("edges_", lambda e, i: (i + 1) % step == 0))
+    return sizes.where(F.col("n_") > segment_rows).select(*keys, chosen.alias("edges"))
+
+
+def segmented(rows: DataFrame, keys: list[str], ts: str, edges: DataFrame) -> DataFrame:
+    """``rows`` with ``seg_``, the number of their key's edges up to their time: 0 where a key has none. Rows of one moment are together."""
+    part = F.coalesce(F.size(F.filter("edges_", lambda e: e <= F.col(ts))), F.lit(0))
+    if keys:
+        return rows.join(F.broadcast(edges.withColumnRenamed("edges", "edges_")), keys, "left").withColumn("seg_", part).drop("edges_")
+    first = edges.first()
+    known = F.array(*(F.lit(e) for e in first.edges)).cast(edges.schema["edges"].dataType) if first else F.lit(None).cast(edges.schema["edges"].dataType)
+    return rows.withColumn("edges_", known).withColumn("seg_", part).drop("edges_")
+
+
 def by_group(
     rows: DataFrame, keys: list[str], run: Callable[[pa.Table, list[tuple[int, int]]], pa.Table], schema: str | StructType
 ) -> DataFrame:
