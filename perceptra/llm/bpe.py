@@ -434,7 +434,7 @@ class Encoder:
         """Ids of one whole text, read ``read`` characters at a time."""
         return list(chain.from_iterable(ids.tolist() for _, ids, _ in self.streams([text], read=read)))
 
-    def streams(self, texts: list[str | None], read: int = READ, most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray, bool]]:
+    def streams(self, texts: list[str | None], read: int = READ, most: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, bool]]:
         """(index of the text, its next ids, whether they are its last ones); null counts as empty.
 
         Texts come in order; parts of about ``most`` characters in all are encoded together.

@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = 2048, end_id: int = 0)
 
     def run(batches):
         encoder, _ = bpe.kept(tokenizer)
-        for batch in by_size(batches):
+        for batch in by_size(batches, 2 << 20):
             rows, held, n = [], np.empty(0, np.int32), 0
             for i, ids, last in encoder.streams(batch.column(1).to_pylist()):
                 held = np.concatenate([held, ids, [end_id]] if last else [held, ids]).astype("<u4")
