@@ -175,11 +175,21 @@ def retrieve_answers(
     )
 
 
-def identity_counts(files: DataFrame, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "bmp", "webp")) -> DataFrame:
-    """(label, aligned, raw): images of each identity; one without images is listed with zeros."""
+def identity_counts(
+    files: DataFrame, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "bmp", "webp"), identities: DataFrame | None = None
+) -> DataFrame:
+    """(label, aligned, raw): images of each identity; one without images is listed with zeros.
+
+    ``identities`` (label) are those that exist, as ``scan_identities`` gives
+    them; without it they are the labels of ``files``.
+    """
     image = F.lower("ext").isin(*extensions)
     of = lambda kind: F.count_if(image & (F.col("kind") == kind))
-    return files.groupBy("label").agg(of("aligned").alias("aligned"), of("raw").alias("raw"))
+    counts = files.groupBy("label").agg(of("aligned").alias("aligned"), of("raw").alias("raw"))
+    if identities is None:
+        return counts
+    known = identities.select("label").distinct().join(counts, "label", "left")
+    return known.select("label", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("aligned", "raw")))
 
 
 def gallery_worklist(files: DataFrame, items: DataFrame) -> DataFrame:

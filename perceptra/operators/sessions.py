@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from perceptra.operators.segments import cut_times, segmented
+from perceptra.storage import materialise
+
 
 def conn_sessions(events: DataFrame, timeout_s: float = 300.0) -> DataFrame:
     """(connection_id, started, ended, reason): from connect to the first disconnect or the timeout.
@@ -25,20 +28,30 @@ def conn_sessions(events: DataFrame, timeout_s: float = 300.0) -> DataFrame:
     )
 
 
-def route_messages(messages: DataFrame, sessions: DataFrame, bucket: str = "hour") -> DataFrame:
+def route_messages(messages: DataFrame, sessions: DataFrame, bucket: str = "hour", segment_rows: int = 100_000) -> DataFrame:
     """(message_id, connection_id, ts): where each message goes.
 
     A message with a connection_id is delivered if that connection is open
     (from started on, before ended); one without goes to every open
     connection. Broadcasts meet sessions through the time buckets that a
-    session covers, not pair by pair.
+    session covers, not pair by pair; where they are many, time is also cut at
+    the quantiles of the broadcasts, so that a busy bucket is dealt into parts
+    of about ``segment_rows`` broadcasts, each of which meets the sessions open
+    in it.
     """
     spans = sessions.select(F.col("connection_id").alias("to_"), "started", "ended")
     is_open = (F.col("ts") >= F.col("started")) & (F.col("ts") < F.col("ended"))
     direct = messages.where("connection_id is not null").join(spans, F.col("connection_id") == F.col("to_")).where(is_open)
     unit = {"hour": 3600, "minute": 60}[bucket]
     slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / unit)
+    everyone = messages.where("connection_id is null").withColumn("slot_", slot("ts"))
+    edges = materialise(cut_times(everyone, [], "ts", segment_rows))
+    kind = everyone.schema["ts"].dataType
     covered = spans.where("ended > started").withColumn("slot_", F.explode(F.sequence(slot("started"), slot("ended"))))
-    everyone = messages.where("connection_id is null").withColumn("slot_", slot("ts")).join(covered, "slot_").where(is_open)
+    limits = (F.timestamp_seconds(F.col("slot_") * unit), F.timestamp_seconds((F.col("slot_") + 1) * unit))
+    covered = covered.withColumns({"low_": F.greatest(F.col("started"), limits[0].cast(kind)), "high_": F.least(F.col("ended"), limits[1].cast(kind))})
+    covered = segmented(segmented(covered, [], "low_", edges).withColumnRenamed("seg_", "from_"), [], "high_", edges)
+    covered = covered.withColumn("seg_", F.explode(F.sequence("from_", "seg_"))).select("to_", "started", "ended", "slot_", "seg_")
+    met = segmented(everyone, [], "ts", edges).join(covered, ["slot_", "seg_"]).where(is_open)
     columns = ["message_id", F.col("to_").alias("connection_id"), "ts"]
-    return direct.select(*columns).distinct().unionByName(everyone.select(*columns).distinct())
+    return direct.select(*columns).distinct().unionByName(met.select(*columns).distinct())

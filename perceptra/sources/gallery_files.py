@@ -27,6 +27,14 @@ def scan_gallery(spark: SparkSession, root: str) -> DataFrame:
     return images(files.select("path"))
 
 
+def scan_identities(spark: SparkSession, root: str) -> DataFrame:
+    """(label): the folders right under ``root``, each an identity, whatever it holds. Only names are listed."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    entries = files.listStatus(folder) if files.exists(folder) else []
+    return spark.createDataFrame([(e.getPath().getName(),) for e in entries if e.isDirectory()], "label string")
+
+
 def read_vectors_f32(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """(row_id, embedding) of a file of little-endian float32, ``dim`` to a record.
 

@@ -97,7 +97,11 @@ def test_gallery_folder(spark, tmp_path):
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(b"x")
+    (tmp_path / "cat" / "aligned").mkdir(parents=True)  # an identity without images
     found = gallery_files.scan_gallery(spark, str(tmp_path)).collect()
+    counts = gallery.identity_counts(gallery_files.scan_gallery(spark, str(tmp_path)), identities=gallery_files.scan_identities(spark, str(tmp_path)))
+    assert {tuple(r) for r in counts.collect()} == {("ann", 0, 1), ("bob", 0, 1), ("cat", 0, 0)}
+    assert gallery_files.scan_identities(spark, str(tmp_path / "none")).count() == 0
     assert {(r.label, r.kind, r.stem, r.ext) for r in found} == {("ann", "raw", "a", "jpg"), ("bob", "raw", "b", "PNG")}
 
 

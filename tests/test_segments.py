@@ -1,11 +1,12 @@
 """Keys of any length in parts: the same rows as in one piece, and parts of like size."""
 
 import random
+from datetime import datetime, timedelta
 from statistics import median
 
 import pytest
 
-from perceptra.operators import asof, metrics
+from perceptra.operators import asof, metrics, sessions
 from perceptra.operators.segments import cut_times, segmented
 
 KIND = "stream_id long, ts long, value double"
@@ -58,3 +59,23 @@ def test_empty_and_null(spark):
     assert metrics.ema(none).count() == 0
     odd = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), (1, None, 3.0)], KIND)
     assert sorted(round(r.ema, 3) for r in metrics.ema(odd, segment_rows=1).collect()) == [1.0, 1.1, 3.0]
+
+
+@pytest.mark.parametrize("segment_rows", [20, 100_000])
+def test_busy_hours_are_dealt_out(spark, segment_rows):
+    """Nine tenths of the broadcasts in one hour: the rows of a comparison of all pairs."""
+    rng = random.Random(4)
+    start = datetime(2024, 1, 1)
+    at = lambda s: start + timedelta(seconds=s)
+    sent = [(i, rng.choice([None, None, 1, 2]), at(rng.randrange(3600, 7200) if rng.random() < 0.9 else rng.randrange(40_000))) for i in range(400)]
+    spans = [(c, at(s := rng.randrange(20_000)), at(s + rng.choice([0, 50, 4000, 15_000]))) for c in range(1, 8) for _ in range(2)]
+    spans.append((9, at(3600), at(7200)))
+    messages = spark.createDataFrame(sent, "message_id long, connection_id long, ts timestamp")
+    opened = spark.createDataFrame(spans, "connection_id long, started timestamp, ended timestamp")
+    expected = {(m, c, ts) for m, to, ts in sent for c, a, b in spans if a <= ts < b and to in (None, c)}
+    found = sessions.route_messages(messages, opened, segment_rows=segment_rows).collect()
+    assert {tuple(r) for r in found} == expected and len(found) == len(expected)
+    if segment_rows == 20:
+        everyone = messages.where("connection_id is null")
+        sizes = segmented(everyone, [], "ts", cut_times(everyone, [], "ts", 20)).groupBy("seg_").count().collect()
+        assert len(sizes) > 8 and max(r["count"] for r in sizes) < 60
