@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perceptra.operators.asof import latest_state
+
 _FALLS = "array<struct<identity:string,is_fallen:boolean>>"
 
 
@@ -37,13 +39,45 @@ def presence_snapshot(
     from the last event however old it is. recent_name_frames and
     fallen_frames are maps: frames of each name, fallen detections of each.
     """
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     moment = F.unix_micros(F.lit(as_of).cast("timestamp"))
-    seen = events.where(micros("ts") <= moment)
-    latest_first = Window.partitionBy(stream).orderBy(F.desc("ts"), F.desc("frame_id"))
+    return _snapshot(events.where(_micros("ts") <= moment), moment, [stream], recent_s, lookback_s, cap)
+
+
+def presence_at(
+    events: DataFrame, moments: DataFrame, recent_s: float | None = None, lookback_s: float = 10.0, cap: int = 300, stream: str = "stream_id"
+) -> DataFrame:
+    """``presence_snapshot`` of every (stream, as_of) of ``moments``, in one run: its columns and ``as_of``.
+
+    Events meet the moments that they are recent for through time buckets of
+    the recent span, two for a moment; the last event of a moment that has no
+    recent one comes from one union and one window. Moments before a stream's
+    first event give no row; repeated moments give one.
+    """
+    span = int((lookback_s if recent_s is None else recent_s) * 1_000_000)
+    unit = max(1, span)
+    asked = moments.select(stream, "as_of").where(F.col("as_of").isNotNull()).distinct().withColumn("m_", _micros("as_of"))
+    event = ["ts", "frame_id", "names", "falls"]
+    typed = events.select(stream, *event).withColumn("t_", _micros("ts"))
+    slots = F.array(*(F.floor(F.col("m_") / unit) - i for i in (0, 1)))
+    near = asked.withColumn("slot_", F.explode(slots)).join(typed.withColumn("slot_", F.floor(F.col("t_") / unit)), [stream, "slot_"])
+    near = near.where((F.col("t_") <= F.col("m_")) & (F.col("t_") >= F.col("m_") - span)).select(stream, "as_of", "m_", *event)
+    newest = typed.groupBy(stream, "t_").agg(F.max_by(F.struct(*event), "frame_id").alias("e_"))
+    last = latest_state(asked.withColumn("t_", F.col("m_")), newest, ["e_"], [stream], "t_").where(_micros("e_.ts") < F.col("m_") - span)
+    seen = near.unionByName(last.select(stream, "as_of", "m_", "e_.*"))
+    return _snapshot(seen, F.col("m_"), [stream, "as_of"], recent_s, lookback_s, cap)
+
+
+def _micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+def _snapshot(seen: DataFrame, moment: Column, stream: list[str], recent_s: float | None, lookback_s: float, cap: int) -> DataFrame:
+    """The snapshot of each key ``stream`` over its events up to its ``moment``."""
+    micros = _micros
+    latest_first = Window.partitionBy(*stream).orderBy(F.desc("ts"), F.desc("frame_id"))
     kept = seen.withColumn("n_", F.row_number().over(latest_first)).where(F.col("n_") <= cap)
     kept = kept.withColumn("t_", micros("ts"))
-    last_t = F.max("t_").over(Window.partitionBy(stream))
+    last_t = F.max("t_").over(Window.partitionBy(*stream))
     kept = kept.withColumn("last_", last_t).where(F.col("t_") >= F.col("last_") - int(lookback_s * 1_000_000))
     start = moment - int((lookback_s if recent_s is None else recent_s) * 1_000_000)
     kept = kept.withColumn("recent_", F.col("t_") >= start)
@@ -52,16 +86,16 @@ def presence_snapshot(
     fallen = F.filter("falls", lambda f: f["is_fallen"])
     fallen_named = F.transform(F.filter(fallen, lambda f: _named(f["identity"])), lambda f: f["identity"])
     frame = kept.select(
-        stream, "frame_id", "n_", "recent_",
+        *stream, "frame_id", "n_", "recent_",
         F.array_distinct(F.filter("names", _named)).alias("who"), unknowns.alias("unknowns"),
         fallen_named.alias("fallen_who"), (F.size(fallen) - F.size(fallen_named)).alias("fallen_unknown"),
         F.size(fallen).alias("fallen"),
     )
     now = frame.where("n_ = 1").select(
-        stream, F.array_sort("who").alias("now"), F.col("unknowns").alias("unknown_now"),
+        *stream, F.array_sort("who").alias("now"), F.col("unknowns").alias("unknown_now"),
         F.array_sort(F.array_distinct("fallen_who")).alias("fallen_now"), F.col("fallen_unknown").alias("fallen_unknown_now"),
     )
-    recent = frame.where("recent_").groupBy(stream).agg(
+    recent = frame.where("recent_").groupBy(*stream).agg(
         F.count(F.lit(1)).alias("frames_recent"),
         F.count_if(F.col("unknowns") > 0).alias("frames_with_unknown"),
         F.max("unknowns").alias("unknown_recent"),
@@ -69,13 +103,13 @@ def presence_snapshot(
     )
 
     def by_name(rows: DataFrame, alias: str) -> DataFrame:
-        each = rows.groupBy(stream, "name").agg(F.count(F.lit(1)).alias("n"))
+        each = rows.groupBy(*stream, "name").agg(F.count(F.lit(1)).alias("n"))
         pairs = F.array_sort(F.collect_list(F.struct("name", "n")))
-        return each.groupBy(stream).agg(F.map_from_entries(pairs).alias(alias))
+        return each.groupBy(*stream).agg(F.map_from_entries(pairs).alias(alias))
 
-    names = by_name(frame.where("recent_").select(stream, F.explode("who").alias("name")), "recent_name_frames")
+    names = by_name(frame.where("recent_").select(*stream, F.explode("who").alias("name")), "recent_name_frames")
     labels = F.concat("fallen_who", F.array_repeat(F.lit("unknown"), F.col("fallen_unknown")))
-    falls = by_name(frame.where("recent_").select(stream, F.explode(labels).alias("name")), "fallen_frames")
+    falls = by_name(frame.where("recent_").select(*stream, F.explode(labels).alias("name")), "fallen_frames")
     out = now.join(recent, stream, "left").join(names, stream, "left").join(falls, stream, "left")
     count = F.size("fallen_now") + F.col("fallen_unknown_now")
     zero = {c: 0 for c in ("frames_recent", "frames_with_unknown", "unknown_recent", "frames_with_fall")}
