@@ -193,8 +193,10 @@ def quality_rules(
     limit. char_distance is null for texts below ``least_chars`` bytes,
     word_distance below ``least_words`` words, and both where the language has
     no reference (fewer than ``least_reference`` words in the corpus): then
-    that rule keeps the text. A null lang counts as a language of its own, a
-    null text as empty; repeated rows come out as often as they go in.
+    that rule keeps the text. A null lang counts as a language of its own, as
+    do names that differ in case or blanks; a null text counts as empty;
+    repeated rows and rows with a null doc_id come out as often as they go in;
+    further columns are not read; an empty table gives no rows.
     """
     typed = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("text").cast("binary"))
     known = references(typed, share, least_reference)

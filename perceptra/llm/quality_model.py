@@ -168,7 +168,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, shrinka
 
     The score sees the text alone. A null or empty text is scored as the empty
     text; a null doc_id counts as held out; repeated rows get equal scores.
-    Further columns of either table are not read.
+    Further columns of either table are not read. An empty ``docs`` gives no
+    rows.
     """
     model = train(docs, labels, shrinkage)
     score = score_column(model, F.col("text"))
@@ -179,5 +180,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, shrinka
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, with their columns as they are."""
+    """The rows of ``docs`` whose score reaches ``threshold``, with their columns as they are, whatever their names.
+
+    A null or empty text is scored as the empty text, so such rows stay or go
+    together; a null doc_id teaches nothing and is judged like any other;
+    repeated rows are judged alike; an empty ``docs`` gives no rows.
+    """
     return docs.where(score_column(train(docs, labels), F.col("text")) >= threshold)

@@ -239,7 +239,7 @@ def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     Positions are code points, the end exclusive. A null or empty text has no
     spans; repeated rows are scanned as often as they come; other columns are
-    not read.
+    not read; an empty table gives no rows.
     """
     model = train(docs)
 
@@ -281,7 +281,9 @@ def empty_digest() -> str:
 def redact(docs: DataFrame, mark: str = "[secret]", threshold: float = 0.5) -> DataFrame:
     """``docs`` with every span replaced by ``mark`` and n_chars, if there, counted anew.
 
-    Texts without spans, nulls included, stay as they are, and so do all rows.
+    Texts without spans, nulls included, stay as they are, and so do all rows,
+    repeated ones and those with a null doc_id too. Columns keep their names
+    and order, whatever they are; an empty table gives no rows.
     """
     model = train(docs)
 

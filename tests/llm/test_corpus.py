@@ -737,3 +737,42 @@ def test_splitting_a_list_is_linear(spark):
     assert sum(sizes) == 5 * len(values) and max(sizes) < len(values) / 100
     again = split.mapInArrow(simhash._split_by(scheme), "key binary, fp binary")
     assert again.count() == 25 * len(values)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    """Null ids and texts, repeated rows and clashing columns pass every stage with their columns; no documents, no rows."""
+    for name, docs in (("odd", odd), ("none", none)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels_of(spark, odd).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    found = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert found and {r.doc_id for r in found} <= {r.doc_id for r in odd.collect()}
+    now = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, now, f"{tmp_path}/odd")
+        assert kept.columns == odd.columns
+        now = spark.createDataFrame(kept.collect(), odd.schema)
+    assert {(r.doc_id, r.piece) for r in found if r.piece == 0} == {(r.doc_id, 0) for r in now.collect()}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_near_dedup_stage_against_brute_force(spark, sf_dir):
+    """Every document that the stage drops is 0.8 alike to one of a smaller id, through others; exact copies all go."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in texts.items() if (w := (t or "").lower().split())}
+    alike = {d: [e for e in sets if e != d and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e])] for d in sets}
+    group: dict = {}
+    for d in sorted(sets):
+        front = [d] if d not in group else []
+        while front:
+            x = front.pop()
+            if x not in group:
+                group[x] = d
+                front += alike[x]
+    wanted = {d for d in texts if group.get(d, d) == d}
+    assert wanted <= kept and len(kept - wanted) <= 0.1 * len(set(texts) - wanted)
+    first = {}
+    for d in sorted(texts):
+        first.setdefault(texts[d], d)
+    assert all(first[texts[d]] == d for d in kept)
