@@ -1,10 +1,12 @@
 """Secret scan: fixed patterns, and character Markov models of random strings and identifiers.
 
-Two first-order models over the characters ``A-Za-z0-9+/_.=-`` are trained
-from labelled samples that the corpus itself gives: the values that the fixed
+First-order models over the characters ``A-Za-z0-9+/_.=-`` are trained from
+labelled samples that the corpus itself gives: the values that the fixed
 patterns find (random strings), and all other text but for the runs in
-question (ordinary identifiers). The stretches of a run whose log-likelihood ratio passes
-the threshold become further spans.
+question (ordinary identifiers). A second random model stands for strings of
+capitals and digits alone (base 32 keys, seeds of one-time passwords), of which
+a corpus need hold no sample. The stretches of a run whose log-likelihood ratio
+under either passes the threshold become further spans.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+#: Where the model of capitals and digits looks: no shorter stretch could pass.
+_CAPITALS = re.compile(r"[A-Z0-9_.=-]{12,}")
 
 #: Labelled samples of ordinary identifiers: parts that paths, addresses and names in code are joined of.
 ORDINARY = """
@@ -49,9 +53,12 @@ physical chemical biological mathematical philosophical psychological technology
 _UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
 
 _N = len(ALPHABET)
+#: Log ratio, below zero, of what a string of capitals and digits does not hold.
+_NEVER = 20.0
 _INDEX = np.full(256, _N, np.int64)
 _INDEX[list(ALPHABET)] = np.arange(_N)
 _MARKS = _INDEX[list(b"_.=-")]
+_UPPER, _LOWER, _DIGITS = np.arange(26), np.arange(26, 52), np.arange(52, 62)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -95,9 +102,15 @@ def _transitions(data: bytes) -> np.ndarray:
 
 @dataclass(frozen=True)
 class RandomnessModel:
-    """Log ratio of each transition: above zero, likelier in a random string."""
+    """Log ratio of each transition: above zero, likelier in a random string.
+
+    ``ratio`` is that of random strings as the corpus has them, ``capitals``
+    that of even strings of capitals and digits; there no other character has
+    a ratio above zero.
+    """
 
     ratio: np.ndarray
+    capitals: np.ndarray
 
     def score(self, run: str) -> float:
         """Mean log-likelihood ratio per transition of ``run``."""
@@ -121,7 +134,10 @@ def train(docs: DataFrame, prior: float = 5.0) -> RandomnessModel:
     towards even transitions over letters and digits by ``prior`` for each,
     which is all it knows when the corpus holds no secret; the text model
     starts from the same prior. An identifier is as likely as the mean of the
-    text model and that of the samples ``ORDINARY`` says.
+    text model and that of the samples ``ORDINARY`` says. For strings of
+    capitals the text model is told that words are spelt the same in capitals:
+    what follows a small letter counts for its capital too. Without rows the
+    prior and the samples are the models.
     """
 
     def counts(batches):
@@ -154,11 +170,21 @@ def train(docs: DataFrame, prior: float = 5.0) -> RandomnessModel:
     even = np.zeros(_N)
     even[:62] = 1
     even[62:] = 0.25
-    n = n.reshape(2, _N, _N) + prior * even[None, None, :]
-    n = n / n.sum(axis=2, keepdims=True)
+    n = n.reshape(2, _N, _N)
     known = _ordinary_transitions() + 0.2 * even[None, :]
-    n[0] = (n[0] + known / known.sum(axis=1, keepdims=True)) / 2
-    return RandomnessModel(np.log(n[1]) - np.log(n[0]))
+    ordinary = lambda text: (_rows(text + prior * even[None, :]) + _rows(known)) / 2
+    ratio = np.log(_rows(n[1] + prior * even[None, :])) - np.log(ordinary(n[0]))
+    spelt = n[0].copy()
+    spelt[np.ix_(_UPPER, _UPPER)] += n[0][np.ix_(_LOWER, _LOWER)]
+    capitals = np.full((_N, _N), -_NEVER)
+    own = np.ix_(*[np.concatenate([_UPPER, _DIGITS])] * 2)
+    capitals[own] = -np.log(36) - np.log(ordinary(spelt))[own]
+    return RandomnessModel(ratio, capitals)
+
+
+def _rows(counts: np.ndarray) -> np.ndarray:
+    """Shares of each row."""
+    return counts / counts.sum(axis=1, keepdims=True)
 
 
 def looks_mixed(run: str) -> bool:
@@ -189,24 +215,51 @@ def random_stretches(text: str, spans: list[tuple[int, int, str]], model: Random
     theirs, as they offer more stretches. Transitions at the marks ``_.=-``
     that join words, and of a character to itself, never count for randomness,
     and identifiers of the form of a UUID are left out. What is left of a run is searched again.
+    Then runs of capitals, digits and marks outside what was found are searched by the model of capitals.
     """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     at = _INDEX[np.minimum(codes, 255)]
     at[codes > 255] = _N
     for a, b in chain(((a, b) for a, b, _ in spans), (m.span() for m in _UUID.finditer(text)) if "-" in text else ()):
         at[a:b] = _N
+    least = threshold * 19
+    found = _stretches(text, at, model.ratio, least)
+    for a, b in found:
+        at[a:b] = _N
+    runs = [m.span() for m in _CAPITALS.finditer(text)]
+    if runs:
+        within = np.full_like(at, _N)
+        for a, b in runs:
+            within[a:b] = at[a:b]
+        found += _stretches(text, within, model.capitals, least)
+    return _joined(found)
+
+
+def _joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(stretches):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _stretches(text: str, at: np.ndarray, ratios: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Stretches of ``text``, whose characters have the places ``at`` in the alphabet, that pass under one model."""
     inside = at < _N
     edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
     starts, ends = edges[::2], edges[1::2]
     ratio = np.zeros(len(at))
     pairs = inside[:-1] & inside[1:]
-    ratio[:-1][pairs] = model.ratio[at[:-1][pairs], at[1:][pairs]]
+    ratio[:-1][pairs] = ratios[at[:-1][pairs], at[1:][pairs]]
     marks = np.isin(at, _MARKS)
     marks[:-1] |= marks[1:]
     marks[:-1] |= at[:-1] == at[1:]
     ratio[marks] = np.minimum(ratio[marks], 0)
     gain = np.concatenate([[0], np.cumsum(np.maximum(ratio, 0))])
-    least, out = threshold * 19, []
+    out = []
     for k in np.flatnonzero(gain[ends] - gain[starts] >= least - 1e-6).tolist():
         todo = [(int(starts[k]), int(ends[k]))]
         while todo:

@@ -622,6 +622,15 @@ def test_recall_on_random_strings_and_precision_on_identifiers(spark):
         for length, least in ((20, 0.88), (24, 0.95), (32, 0.97)):
             runs = ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(300)]
             assert sum(bool(found(f"use {r} now")) for r in runs) >= least * len(runs)
+    for alphabet in (lower.upper() + digits, lower.upper() + "234567"):
+        for length, least in ((20, 0.9), (24, 0.97), (32, 0.99)):
+            runs = ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(300)]
+            assert sum(bool(found(f"use {r} now")) for r in runs) >= least * len(runs)
+    capitals = """INTERNATIONALIZATION_OF_GOVERNMENTS MAX_CONCURRENT_CONNECTIONS_PER_HOST ERR_SSL_VERSION_OR_CIPHER_MISMATCH
+    DONAUDAMPFSCHIFFAHRTSGESELLSCHAFT ANTICONSTITUTIONNELLEMENT HTTP_STATUS_INTERNAL_SERVER_ERROR ISO-8859-1_UTF-16LE_CP1252
+    GL_TEXTURE_COMPRESSION_S3TC_DXT5_EXT DE89370400440532013000 ISBN-978-3-16-148410-0 AVX512VNNI_AVX512BW_SSE42
+    RFC2616-SECTION-14.9.1 CVE-2021-44228-LOG4SHELL X86_64-PC-LINUX-GNU ORDER-2024-000123-EU INV20240115-000042""".split()
+    assert [n for n in capitals if found(f"see {n} ok")] == []
     names = """kubernetes-dashboard-service-account org.springframework.boot.autoconfigure ReadOnlyMemoryBufferTooSmallException
     get_user_profile_by_username /home/ubuntu/workspace/pipeline/jenkins opt/conda/envs/pytorch/lib InvalidArgumentException
     counterrevolutionaries Donaudampfschifffahrtsgesellschaft en.wikipedia.org/wiki/Special:Random UPPER_CASE_CONSTANT_NAME
