@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
+from perceptra.operators.similarity import nearest
 from perceptra.storage import materialise
 
-#: Bytes of vectors that are sent to every executor at most; more are met block by block.
-BROADCAST_BYTES = 64 << 20
-#: Vectors in a block of the larger path.
-BLOCK = 4096
 UNKNOWN = "__unknown__"
 
 
@@ -38,117 +32,6 @@ def gallery_stats(vectors: DataFrame, label: str = "label", vector: str = "embed
     return out.withColumn("total", F.lit(vectors.count()))
 
 
-def _nearest(batch_ids: list, probes: np.ndarray, names: np.ndarray, matrix: np.ndarray, k: int):
-    """The ``k`` best columns for each row; ties to the earlier name. Scores of some 32 MB are held at a time."""
-    step, found = max(1, (4 << 20) // max(1, len(names))), []
-    for at in range(0, len(batch_ids), step):
-        scores = probes[at : at + step] @ matrix.T
-        if k == 1:
-            column = scores.argmax(axis=1)
-            row = np.arange(len(scores))
-        else:
-            least = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
-            row, column = np.nonzero(scores >= least[:, None])
-            order = np.lexsort((column, -scores[row, column], row))
-            row, column = row[order], column[order]
-            first = np.searchsorted(row, row)
-            best = np.arange(len(row)) - first < k
-            row, column = row[best], column[best]
-        found.append((row + at, column, scores[row, column]))
-    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
-
-
-def _finite(rows: DataFrame, name: str, vector: str) -> DataFrame:
-    """(id, v array<double>) of the vectors that hold numbers only, one at least."""
-    v = F.col(vector).cast("array<double>")
-    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.select(F.col(name).alias("id"), v.alias("v")).where((F.size("v") > 0) & ~odd)
-
-
-def _by_length(table: pa.Table, names: bool = True) -> dict[int, tuple]:
-    """Length -> (ids or places of the rows, matrix) of a table (id, v) without nulls in v."""
-    if not table.num_rows:
-        return {}
-    lists = table.column(1).combine_chunks()
-    offsets = lists.offsets.to_numpy()
-    flat, sizes = lists.flatten().to_numpy(), np.diff(offsets)
-    out = {}
-    for length in np.unique(sizes).tolist():
-        rows = np.flatnonzero(sizes == length)
-        matrix = flat[(offsets[rows] - offsets[0])[:, None] + np.arange(length)]
-        out[length] = (table.column(0).take(pa.array(rows)).to_pylist() if names else rows), matrix
-    return out
-
-
-def nearest(
-    probes: DataFrame, probe_id: str, candidates: DataFrame, candidate_id: str, k: int = 1,
-    probe_vector: str = "embedding", candidate_vector: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """(probe_id, candidate_id, score, rank): the ``k`` largest inner products; ties to the smaller id.
-
-    The candidates are measured first. Up to ``broadcast_bytes`` they go to
-    every executor as matrices. Beyond, they are dealt into blocks of some
-    ``BLOCK`` vectors, probes meet each block through an equal key, and the
-    best of each block are ranked: memory stays that of two blocks. Vectors
-    that are null or empty or hold a null or a component that is not finite
-    take no part on either side; vectors of different lengths do not meet.
-    """
-    kind = dict(candidates.dtypes)[candidate_id]
-    probe_kind = dict(probes.dtypes)[probe_id]
-    schema = f"probe {probe_kind}, candidate {kind}, score double"
-    probe_arrow, name_arrow = (to_arrow_type(d.schema[c].dataType) for d, c in ((probes, probe_id), (candidates, candidate_id)))
-    own, asked = _finite(candidates, candidate_id, candidate_vector), _finite(probes, probe_id, probe_vector)
-    size = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("components")).first()
-    if not size.n:
-        found = probes.sparkSession.createDataFrame([], schema)
-    elif size.components * 8 <= broadcast_bytes:
-        known = probes.sparkSession.sparkContext.broadcast(_by_length(own.orderBy("id").toArrow().combine_chunks()))
-
-        def run(batches):
-            for batch in batches:
-                for length, (place, asked_) in _by_length(pa.Table.from_batches([batch]).combine_chunks(), False).items():
-                    if length not in known.value:
-                        continue
-                    names, matrix = known.value[length]
-                    r, c, s = _nearest(place, asked_, names, matrix, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(place[r])), pa.array([names[i] for i in c], name_arrow), pa.array(s)],
-                        ["probe", "candidate", "score"],
-                    )
-
-        found = asked.mapInArrow(run, schema)
-    else:
-        blocks = -(-size.n // BLOCK)
-        packed = own.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.size("v").alias("length")).agg(
-            F.array_sort(F.collect_list(F.struct("id", "v"))).alias("own")
-        )
-        groups = max(1, asked.count() // BLOCK)
-        spread = asked.groupBy(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).alias("g"), F.size("v").alias("length")).agg(
-            F.collect_list(F.struct("id", "v")).alias("asked")
-        )
-        spread = spread.select("asked", "length", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
-
-        def meet(batches):
-            for batch in batches:
-                for probes_, own_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    ids, names = [p["id"] for p in probes_], [o["id"] for o in own_]
-                    r, c, s = _nearest(
-                        ids, np.array([p["v"] for p in probes_], float), names, np.array([o["v"] for o in own_], float), k
-                    )
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[i] for i in r], probe_arrow), pa.array([names[i] for i in c], name_arrow), pa.array(s)],
-                        ["probe", "candidate", "score"],
-                    )
-
-        found = spread.join(packed, ["block", "length"]).select("asked", "own").mapInArrow(meet, schema)
-    best = Window.partitionBy("probe").orderBy(F.desc("score"), "candidate")
-    return (
-        found.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select(F.col("probe").alias(probe_id), F.col("candidate").alias(candidate_id), "score", "rank")
-    )
-
-
 def match_gallery(
     probes: DataFrame, centroids: DataFrame, threshold: float = 0.4, probe_id: str = "vec_id", label: str = "label"
 ) -> DataFrame:

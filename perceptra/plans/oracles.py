@@ -57,6 +57,13 @@ SELECT vec_id, round(sum(v / (norm + 1e-9) * (i + 1)), 6) AS value FROM (
   SELECT vec_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v,
          sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings) e
 GROUP BY vec_id""")
+sql("read_vectors_f32", "", """
+SELECT row_id, round(sum(v * (i + 1)), 6) AS value FROM (
+  SELECT row_id, unnest(range(len(embedding))) AS i, CAST(CAST(unnest(embedding) AS FLOAT) AS DOUBLE) AS v FROM (
+    SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, embedding FROM embeddings
+    WHERE len(embedding) = (SELECT max(len(embedding)) FROM embeddings)
+      AND list_aggregate(embedding, 'count') = len(embedding)) e) c
+GROUP BY row_id""")
 sql("identity_counts", "gallery_files", """
 SELECT label, count(*) FILTER (kind = 'aligned' AND lower(ext) IN ('jpg','jpeg','png','bmp','webp')) AS aligned,
        count(*) FILTER (kind = 'raw' AND lower(ext) IN ('jpg','jpeg','png','bmp','webp')) AS raw FROM gallery_files GROUP BY label""")

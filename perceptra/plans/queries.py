@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,7 @@ from perceptra.operators import (
     video,
 )
 from perceptra.plans.fixtures import fixture
-from perceptra.sources import gallery_files, messages
+from perceptra.sources import gallery_files, messages, vector_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,6 +150,18 @@ def append_vectors(items, files):
     return gallery_files.append_vectors(new, items.count())
 
 
+@query("embeddings")
+def read_vectors_f32(rows):
+    dim = rows.agg(F.max(F.size("embedding"))).first()[0]
+    whole = rows.where((F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull()))
+    path = f"{storage.shared_dir(rows.sparkSession)}/vectors-{uuid.uuid4().hex}"
+    vector_files.write_vectors_f32(whole.orderBy("vec_id"), path, dim)
+    found = vector_files.read_vectors_f32(rows.sparkSession, path, dim)
+    places = found.select("row_id", F.posexplode("embedding").alias("i", "value"))
+    total = F.sum(F.col("value").cast("double") * (F.col("i") + 1))
+    return rounded(places.groupBy("row_id").agg(total.alias("value")), "value")
+
+
 # --- detections -------------------------------------------------------------
 
 

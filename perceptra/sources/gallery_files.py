@@ -1,9 +1,7 @@
-"""Gallery storage: image folders, raw vector files, the appended vector table, reply sinks."""
+"""Gallery storage: image folders, the appended vector table, reply sinks."""
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,20 +33,6 @@ def scan_identities(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(e.getPath().getName(),) for e in entries if e.isDirectory()], "label string")
 
 
-def read_vectors_f32(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """(row_id, embedding) of a file of little-endian float32, ``dim`` to a record.
-
-    A size that is no multiple of the record fails; a missing file is empty.
-    """
-    schema = "row_id long, embedding array<float>"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
-    form = f"<{dim}f"
-    rows = spark.sparkContext.binaryRecords(path, 4 * dim).zipWithIndex()
-    return spark.createDataFrame(rows.map(lambda r: (r[1], [*struct.unpack(form, r[0])])), schema)
-
-
 def model_signature(name: str, backend: str, norm: str, dim: int) -> str:
     return f"{name}-{backend}-{norm}-{dim}"
 

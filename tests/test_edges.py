@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from perceptra.functions import text
 from perceptra.operators import detections, gallery, models, pose, speech, telemetry, tracks
-from perceptra.sources import gallery_files, messages
+from perceptra.sources import gallery_files, messages, vector_files
 from perceptra.streaming import stateful
 
 BOX = "stream_id long, frame_id long, det_idx long, x1 double, y1 double, x2 double, y2 double, score double"
@@ -85,11 +85,11 @@ def test_vector_file(spark, tmp_path):
     good, bad = tmp_path / "v.f32", tmp_path / "bad.f32"
     good.write_bytes(struct.pack("<12f", *range(12)))
     bad.write_bytes(b"123456789")
-    rows = gallery_files.read_vectors_f32(spark, str(good), 4).orderBy("row_id").collect()
+    rows = vector_files.read_vectors_f32(spark, str(good), 4).orderBy("row_id").collect()
     assert [(r.row_id, r.embedding) for r in rows] == [(i, [4.0 * i + k for k in range(4)]) for i in range(3)]
-    assert gallery_files.read_vectors_f32(spark, str(tmp_path / "none"), 4).count() == 0
+    assert vector_files.read_vectors_f32(spark, str(tmp_path / "none"), 4).count() == 0
     with pytest.raises(Exception):  # noqa: B017
-        gallery_files.read_vectors_f32(spark, str(bad), 4).count()
+        vector_files.read_vectors_f32(spark, str(bad), 4).count()
 
 
 def test_gallery_folder(spark, tmp_path):
