@@ -8,7 +8,7 @@ letters and digits; units whose SHA-256 is that of a known licence match.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Equivalent spellings, the first replaced by the second.
@@ -144,6 +144,21 @@ def known_digests(spark, known=KNOWN) -> DataFrame:
     return rows.select(F.sha2(canonical("text").cast("binary"), 256).alias("digest"), "license").distinct()
 
 
+def read_known(spark: SparkSession, folder: str, most_bytes: int = 64 << 20) -> tuple[tuple[str, str], ...]:
+    """(name, text) of a folder's files, to be given to ``scan`` as ``known``: whole texts of longer licences.
+
+    A name is the file's, without ``.txt``. Texts are UTF-8; empty files are
+    left out. The collection passes the driver, so one of over ``most_bytes`` fails; it does not grow with the corpus.
+    """
+    files = spark.read.format("binaryFile").load(folder)
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    if size > most_bytes:
+        raise ValueError(f"{folder}: {size} bytes of licences, over {most_bytes}")
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.txt$", "")
+    rows = files.select(name.alias("name"), F.decode("content", "UTF-8").alias("text")).orderBy("name").collect()
+    return tuple((r.name, r.text) for r in rows)
+
+
 def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     """(doc_id, unit, line, license): every whole text and every line that is a known licence.
 
