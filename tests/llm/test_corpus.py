@@ -513,6 +513,43 @@ def test_passages_of_exact_and_changed_copies_with_a_partial_one_before(spark):
     assert all(r.doc_id - r.first_id in (n, 2 * n) and r.first_id % n == r.doc_id % n for r in found)
 
 
+@pytest.mark.parametrize("part_in", ["a later document of the batch", "the first document", "the second document"])
+def test_passages_whose_signatures_a_part_before_them_has_too(spark, part_in):
+    """45 of a passage's 50 words stand before the passage in one of its documents, or in another one of the second's batch.
+
+    Signatures then meet that part first, though it is no passage.
+    """
+    rng = random.Random(15)
+    n, firsts, others = 40, [], []
+    for i in range(n):
+        words = prose(rng, 50, 100_000).split()
+        whole, part = " ".join(words), " ".join(words[:45]) + " " + prose(rng, 60, 100_000)
+        own, other = prose(rng, 60, 100_000) + " " + whole, prose(rng, 70, 100_000) + " " + whole
+        if part_in == "the first document":
+            own = part + " " + whole
+        elif part_in == "the second document":
+            other = part + " " + whole
+        else:
+            others.append((n + i, part))
+        firsts.append((i, own))
+        others.append((2 * n + i, other))
+    docs = spark.createDataFrame(firsts, "doc_id long, text string").coalesce(1).union(spark.createDataFrame(others, "doc_id long, text string").coalesce(1))
+    found = passages.near_duplicate_passages(docs).collect()
+    assert {(r.doc_id, r.first_id) for r in found} == {(2 * n + i, i) for i in range(n)}
+    texts = dict(firsts + others)
+    for r in found:
+        assert texts[r.doc_id].split()[r.start_word : r.end_word] == texts[r.first_id].split()[r.first_start : r.first_end]
+        assert r.end_word - r.start_word == 50
+
+
+def test_word_hashes_tell_words_apart():
+    words = [b"a", b"A", b"ab", b"abcdefgh", b"abcdefghi", b"x" * 255, b"x" * 256, b"x" * 257, b"X" * 257, b"\xc3\x84", b"\x00", b"\x00\x00"]
+    h, begin = passages.word_hashes([None, b"", b" \t\n", b" ".join(words[:5]), b"\v" + b"\r\f".join(words[5:]) + b"\n"])
+    assert begin.tolist() == [0, 0, 0, 0, 5, 12]
+    assert h[0] == h[1] and h[7] == h[8] and len(set(h.tolist())) == 10
+    assert all(passages.word_hashes([w])[0].tolist() == [v] for w, v in zip(words, h.tolist(), strict=True))
+
+
 def test_passages_against_brute_force(spark, sf_dir):
     """All words in exact runs of 50 that an earlier document has are found, and 0.95 of the documents with any passage."""
     found = queries.op9_substring_dedup(spark, sf_dir).collect()
