@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from perceptra.llm.common import arrow_rows, by_size, join_hot, materialise, small
 from perceptra.llm.components import connected_components
-from perceptra.llm.passages import shingle_hashes
+from perceptra.llm.passages import TEXT_ROWS, shingle_hashes
 
 #: Fingerprints of one posting list that one task compares with one another.
 BLOCK = 2048
@@ -190,14 +190,17 @@ def spanning(rows: np.ndarray, scheme: Scheme) -> list[tuple[int, int]]:
             front += new
         made += 1
     if made > 1 and scheme.most > scheme.sure:
-        apart[group[:, None] == group[None]] = _FAR
-        i, j = np.nonzero(np.triu(apart <= scheme.most))
-        pair = group[i] * made + group[j]
-        swap = group[i] > group[j]
-        pair[swap] = group[j[swap]] * made + group[i[swap]]
-        order = np.lexsort((apart[i, j], pair))
-        _, first = np.unique(pair[order], return_index=True)
-        out += list(zip(i[order[first]].tolist(), j[order[first]].tolist(), strict=True))
+        best = np.empty((4, 0), np.int64)  # the pair of groups, differing bits and both places
+        for at in range(0, n, step):
+            own = slice(at, at + step)
+            near = (apart[own] <= scheme.most) & (group[own, None] != group) & (np.arange(n)[own, None] < np.arange(n))
+            i, j = np.nonzero(near)
+            i += at
+            pair = np.minimum(group[i], group[j]) * made + np.maximum(group[i], group[j])
+            best = np.concatenate([best, [pair, apart[i, j], i, j]], axis=1)
+            best = best[:, np.lexsort((best[1], best[0]))]
+            best = best[:, np.unique(best[0], return_index=True)[1]]
+        out += list(zip(best[2].tolist(), best[3].tolist(), strict=True))
     return out
 
 
@@ -452,7 +455,9 @@ def _first_of_group(docs: DataFrame, found: DataFrame) -> DataFrame:
     id_, digest, kept = "id" + long, "digest" + long, "row" + long
     state = materialise(state.where("times > 1 or not first").select(F.col("doc_id").alias(id_), F.col("digest").alias(digest), "first"))
     same = (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64(F.col("text").cast("binary")) == F.col(digest))
-    rest = docs.join(state.drop("first"), same, "left_anti")
+    rest = docs.join(state.drop("first").hint("merge"), same, "left_anti")
+    if state.where("first").isEmpty():
+        return rest.select(*docs.columns)
     repeated = docs.join(state.where("first").drop("first"), same)
     order = F.xxhash64(*(f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")))
     repeated = repeated.groupBy(id_, digest).agg(F.min_by(F.struct(*docs.columns), order).alias(kept))
@@ -495,7 +500,8 @@ def _similar(docs: DataFrame, similarity: float, size: int) -> DataFrame:
             found = [wide_fingerprint(x) for x in shingle_sets(batch.column(2).to_pylist(), size)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["doc_id", "digest", "fp"])
 
-    prints = materialise(typed.mapInArrow(prints_of, "doc_id long, digest long, fp binary"))
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        prints = materialise(typed.mapInArrow(prints_of, "doc_id long, digest long, fp binary"))
     values = _values(prints)
     near = links(values, wide_scheme())
     end = lambda fp, name: values.select(F.col("fp").alias(fp), F.col("least.doc_id").alias(name), F.col("least.digest").alias(f"{name}_digest"))
@@ -509,9 +515,10 @@ def _similar(docs: DataFrame, similarity: float, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["doc_id", "digest", "x"])
 
     keys = ["doc_id", "digest"]
-    sets = materialise(
-        typed.join(wanted.hint("merge"), keys).mapInArrow(sets_of, "doc_id long, digest long, x binary").dropDuplicates(keys)
-    )
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        sets = materialise(
+            typed.join(wanted.hint("merge"), keys).mapInArrow(sets_of, "doc_id long, digest long, x binary").dropDuplicates(keys)
+        )
 
     def verify(batches):
         for batch in small(batches):
