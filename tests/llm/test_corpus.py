@@ -542,6 +542,51 @@ def test_passages_whose_signatures_a_part_before_them_has_too(spark, part_in):
         assert r.end_word - r.start_word == 50
 
 
+def bytes_of(spark, texts):
+    return docs_of(spark, texts).withColumn("text", F.col("text").cast("binary"))
+
+
+def common_passage(n):
+    """Texts that share a passage of 120 words, half of them another one of 70 as well, after a first that has parts of the former."""
+    rng = random.Random(16)
+    shared, other = prose(rng, 120, 100_000).split(), " ".join(prose(rng, 70, 100_000).split())
+    texts = [" ".join(shared[:60]) + " " + prose(rng, 30, 100_000) + " " + " ".join(shared[40:])]
+    for i in range(n - 1):
+        texts.append(prose(rng, rng.randrange(5, 40), 100_000) + " " + " ".join(shared) + " " + prose(rng, 20, 100_000) + (" " + other if i % 2 else ""))
+    return texts
+
+
+def test_a_passage_that_many_documents_share_makes_few_rows_each(spark):
+    """Runs of links leave a batch, not one row for each place: that made 27 rows a document here."""
+    rows = {}
+    for n in (400, 800):
+        linked, _ = passages.links(bytes_of(spark, common_passage(n)).coalesce(2), 46, 3, 5)
+        rows[n] = linked.count()
+        assert rows[n] < 6 * n
+    assert rows[800] < 2.2 * rows[400]
+
+
+@pytest.mark.parametrize("followers, at_once, parts", [(256, 1 << 19, 3), (7, 100, 2), (1, 1, 1)])
+def test_regions_do_not_depend_on_what_a_batch_has_joined(spark, monkeypatch, followers, at_once, parts):
+    """Regions equal those of all single links with the first of each signature."""
+    monkeypatch.setattr(passages, "FOLLOWERS", followers)
+    monkeypatch.setattr(passages, "AT_ONCE", at_once)
+    texts = common_passage(150)
+    linked, _ = passages.links(bytes_of(spark, texts).repartition(parts), 46, 3, 5)
+    found = sorted(tuple(r) for r in passages.regions(linked, 46).collect())
+    met = {}
+    for doc, text in enumerate(texts):
+        sig, at, n, low, high = passages.signatures(passages.shingles(text.encode()), 46, 3)
+        for key, place in zip(sig.tolist(), ((at << 20) | ((n - 1) << 14) | ((low - at) << 7) | (high - at)).tolist(), strict=True):
+            met.setdefault(key, set()).add((doc, place))
+    single = []
+    for places in met.values():
+        (first, at), *others = sorted(places)
+        single += [(doc, p, first, at) for doc, p in others if len({d for d, _ in places}) > 1]
+    expected = passages.merged(passages._runs(*np.array(sorted(single), np.int64).T, 46))
+    assert found == sorted(map(tuple, expected.T.tolist())) and len(found) > 200
+
+
 def test_word_hashes_tell_words_apart():
     words = [b"a", b"A", b"ab", b"abcdefgh", b"abcdefghi", b"x" * 255, b"x" * 256, b"x" * 257, b"X" * 257, b"\xc3\x84", b"\x00", b"\x00\x00"]
     h, begin = passages.word_hashes([None, b"", b" \t\n", b" ".join(words[:5]), b"\v" + b"\r\f".join(words[5:]) + b"\n"])
