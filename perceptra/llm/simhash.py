@@ -6,6 +6,9 @@ when they differ in few bits. Four differing bits touch at most four of eight
 bytes, so linked fingerprints of 64 bits share at least four bytes in place:
 the guaranteed number of matches.
 
+The links by shingle similarity are all found: what the index, which is sure
+for few bits only, leaves unjoined comes from lists of the sets' rare shingles.
+
 The posting lists of single bytes would each hold 1/256 of a corpus, so a list
 of the index stands for three bytes in place (or as many bits). The pairs that
 meet in a list are counted: the bytes that they share in place are tallied,
@@ -25,10 +28,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perceptra.llm.common import arrow_rows, by_size, join_hot, materialise, small
+from perceptra.llm.common import arrow_rows, by_size, give_back, join_hot, materialise, small
 from perceptra.llm.components import connected_components
 from perceptra.llm.passages import TEXT_ROWS, shingle_hashes
 
@@ -478,36 +481,258 @@ def keep_one(docs: DataFrame, max_bits: int = 4) -> DataFrame:
 def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """(doc_id, component_id) for every row with a doc_id: groups linked by shingle similarity.
 
-    Candidates come from 256-bit fingerprints of the distinct ``size``-word
-    shingles (lower case, split at ASCII white space; a text of fewer words is
-    one shingle); a link needs a Jaccard similarity of ``similarity`` of the
-    shingle sets themselves. Of pairs at 0.8 about nine tenths meet in the
-    index, at 0.85 all but one in fifty, above 0.9 nearly all. Of two groups
-    that meet in a list the closest pair is compared. Null and empty texts have
-    no shingle and are alike. Different texts with one doc_id are documents
-    each. Repeated rows come out as often as they go in; an empty table gives
-    no rows; further columns are not read.
+    Every two rows whose distinct ``size``-word shingles (lower case, split at
+    ASCII white space; a text of fewer words is one shingle) have a Jaccard
+    similarity of ``similarity`` or more are linked, and no others. The index
+    of 256-bit fingerprints of the sets gives most links at little cost; all
+    pairs that it has not joined and that can be alike come from the lists of
+    the sets' rare shingles (``_unjoined``). Null and empty texts have no
+    shingle and are alike. Different texts with one doc_id are documents each.
+    Repeated rows come out as often as they go in; an empty table gives no
+    rows; further columns are not read.
     """
     return _similar(docs, similarity, size).select("doc_id", F.col("least.doc_id").alias("component_id"))
 
 
-def _similar(docs: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(doc_id, digest, fp, least) of every row with a doc_id."""
-    typed = _named(docs.where("doc_id is not null"))
+_ENDS = ["src", "dst", "a", "a_digest", "b", "b_digest"]
+
+
+def _end(end: str, name: str, of: str = "") -> tuple[Column, ...]:
+    """A set and its first row as the columns of one end of a pair."""
+    least = F.col(f"{of}least")
+    return F.col(f"{of}fp").alias(end), least["doc_id"].alias(name), least["digest"].alias(f"{name}_digest")
+
+
+_POSTING = np.dtype([("token", "<i8"), ("id", "<i8"), ("n", "<i4"), ("before", "<i4")])
+#: Shingles that are counted at a time to tell common ones, and the texts among theirs that a common one is in.
+_COUNTED, _OFTEN = 500_000, 4
+#: Common shingles that are told apart by their counts; others are ordered by their hashes, which is as right.
+_COMMON = 1 << 20
+#: Names of rows that are sent to the texts; of more, the texts meet theirs in an exchange.
+_SENT = 500_000
+#: Postings of the lists that one task holds.
+_POSTINGS = 250_000
+
+
+def _tally(x: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each of some buckets, a power of two that grows with the set; empty where one has over 255."""
+    buckets = 1 << max(6, (len(x) // 3).bit_length())
+    counts = np.bincount((x & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _within_reach(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether two sets with these tallies can be alike: they share no more in a bucket than the smaller number."""
+    if not x or not y:
+        return True
+    a, b = (np.frombuffer(t, np.uint8).astype(np.int64) for t in (x, y))
+    least = min(len(a), len(b))
+    both = np.minimum(a.reshape(-1, least).sum(axis=0), b.reshape(-1, least).sum(axis=0)).sum()
+    return both >= similarity * (a.sum() + b.sum() - both) - 1e-6
+
+
+def _prints_and_common(size: int):
+    """Rows to (doc_id, digest, fp, id, wide, n, tally): the digest of the set of shingles and half of it, its fingerprint, size and tally.
+
+    Rows without doc_id have shingles that several texts of a task hold, and how many.
+    """
+
+    def common(held):
+        if not held:
+            return
+        x, n = np.unique(np.concatenate(held), return_counts=True)
+        x, n = x[n >= _OFTEN], n[n >= _OFTEN]
+        if len(x):
+            one = [pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*one, pa.array([np.stack([x.view(np.int64), n]).tobytes()])], names)
+
+    names = ["doc_id", "digest", "fp", "id", "wide", "n", "tally", "common"]
+
+    def run(batches):
+        held, counted = [], 0
+        for batch in by_size(batches):
+            sets = shingle_sets(batch.column(2).to_pylist(), size)
+            whole = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            columns = [
+                pa.array(whole, pa.binary()), pa.array([int.from_bytes(w[:8], "little", signed=True) for w in whole], pa.int64()),
+                pa.array([wide_fingerprint(x) for x in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int32()),
+                pa.array(list(map(_tally, sets)), pa.binary()), pa.nulls(batch.num_rows, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names)
+            held.append(np.concatenate(sets))
+            counted += len(held[-1])
+            if counted > _COUNTED:
+                yield from common(held)
+                held, counted = [], 0
+        yield from common(held)
+
+    return run, "doc_id long, digest long, fp binary, id long, wide binary, n int, tally binary, common binary"
+
+
+def _common_shingles(made: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles in the order of their hashes, and their counts: up to ``_COMMON`` of them."""
+
+    def spread(batches):
+        for batch in batches:
+            for both in batch.column(0).to_pylist():
+                x, n = np.frombuffer(both, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n)], ["x", "n"])
+
+    counts = made.where("common is not null").select("common").mapInArrow(spread, "x long, n long")
+    counts = materialise(counts.groupBy("x").agg(F.sum("n").alias("n")))
+    classes = counts.groupBy(F.floor(F.log2("n")).alias("c")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c")).collect()
+    least, total = 1 << 62, 0
+    for c, k in classes:
+        total += k
+        if total > _COMMON:
+            break
+        least = 1 << c
+    found = counts.where(F.col("n") >= least).toArrow()
+    x, n = (found.column(c).to_numpy().astype(np.int64) for c in ("x", "n"))
+    x = x.view(np.uint64)
+    order = np.argsort(x)
+    return x[order], n[order]
+
+
+def _rare_first(x: np.ndarray, common: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """A set of shingles, given by rising hashes, in an order that all sets share: by their counts if they are common, by hashes."""
+    known, counts, bits = common
+    maybe = np.flatnonzero(bits[x >> np.uint64(40)])
+    if not len(maybe):
+        return x
+    at = np.minimum(np.searchsorted(known, x[maybe]), len(known) - 1)
+    weight = np.zeros(len(x), np.int64)
+    weight[maybe] = np.where(known[at] == x[maybe], counts[at], 0)
+    return x[np.argsort(weight, kind="stable")]
+
+
+def _may(n, before, m, behind, similarity):
+    """Whether sets of ``n`` and ``m`` can be alike whose first common shingle has ``before`` and ``behind`` others before it."""
+    return np.minimum(n - before, m - behind) >= (similarity * (n + m)) / (1 + similarity) - 1e-6
+
+
+def _list_pairs(token, n, before, similarity, group=None):
+    """Places (i, j) of the pairs of each list that can be alike and are of different groups, some at a time; rows are sorted by token."""
+    if not len(token):
+        return
+    fine = lambda i, j: _may(n[i], before[i], n[j], before[j], similarity) & (True if group is None else group[i] != group[j])
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    sizes = np.diff(np.append(starts, len(token)))
+    for k in (2, 3, 4):
+        own = starts[sizes == k]
+        for i, j in combinations(range(k), 2):
+            near = own[fine(own + i, own + j)]
+            yield near + i, near + j
+    for a, k in zip(starts[sizes > 4].tolist(), sizes[sizes > 4].tolist(), strict=True):
+        every, step = np.arange(a, a + k), max(1, (1 << 18) // k)
+        for at in range(0, k, step):
+            own = every[at : at + step, None]
+            i, j = np.nonzero(fine(own, every[None]) & (own < every))
+            yield i + a + at, j + a
+
+
+def _unjoined(typed: DataFrame, made: DataFrame, values: DataFrame, linked: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(src, dst, ...) of all pairs of sets that can have the similarity and that ``linked`` does not join.
+
+    In one order of all shingles, rare ones first, alike sets of n shingles
+    share one of their first n - ceil(similarity n) + 1. The lists of these
+    hold every such pair, and where the first shingle that it shares stands in
+    both sets bounds its similarity. Pairs that pass, and whose tallies leave
+    the similarity open, are returned.
+    """
+    spark = typed.sparkSession
+    known, counts = _common_shingles(made)
+    bits = np.zeros(1 << 24, bool)
+    bits[known >> np.uint64(40)] = True
+    held = spark.sparkContext.broadcast((known, counts, np.packbits(bits)))
+    total = values.agg(F.sum((1 - similarity) * F.col("n") + 1)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // _POSTINGS + 1)
+
+    def postings(batches):
+        common = (held.value[0], held.value[1], np.unpackbits(held.value[2]).view(bool))
+        seen, out, waiting = set(), [], 0
+
+        def packed():
+            rows = np.concatenate(out)
+            part = ((rows["token"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % parts
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            some = np.flatnonzero(np.diff(cuts))
+            lists = [rows[order[cuts[p] : cuts[p + 1]]].tobytes() for p in some]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(lists, pa.binary())], ["part", "postings"])
 
-    def prints_of(batches):
         for batch in by_size(batches):
-            found = [wide_fingerprint(x) for x in shingle_sets(batch.column(2).to_pylist(), size)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["doc_id", "digest", "fp"])
+            for x in shingle_sets(batch.column(2).to_pylist(), size):
+                id_ = int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "little", signed=True)
+                if not len(x) or id_ in seen:  # equal sets are one
+                    continue
+                seen.add(id_)
+                first = _rare_first(x, common)[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1]
+                rows = np.empty(len(first), _POSTING)
+                rows["token"], rows["id"], rows["n"], rows["before"] = first.view(np.int64), id_, len(x), np.arange(len(first))
+                out.append(rows)
+                waiting += len(rows)
+                if waiting > _POSTINGS:
+                    yield packed()
+                    out, waiting = [], 0
+        if out:
+            yield packed()
+
+    def lists(table):
+        rows = np.frombuffer(b"".join(table.column("postings").to_pylist()), _POSTING)
+        rows = rows[np.lexsort((rows["id"], rows["token"]))]
+        new = np.ones(len(rows), bool)  # tasks may have equal sets
+        new[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["id"][1:] != rows["id"][:-1])
+        rows = rows[new]
+        some = np.zeros(len(rows), bool)
+        for i, j in _list_pairs(rows["token"], rows["n"], rows["before"], similarity):
+            some[i] = some[j] = True
+        give_back()
+        return pa.table({c: np.ascontiguousarray(rows[c][some]) for c in _POSTING.names})
+
+    shape = "token long, id long, n int, before int"
+    with arrow_rows(spark, TEXT_ROWS):
+        dealt = typed.mapInArrow(postings, "part int, postings binary")
+        met = materialise(dealt.groupBy("part").applyInArrow(lists, shape))
+    held.unpersist()
+    of_set = values.select("id", "fp", "least", "tally")
+    group = connected_components(linked).join(of_set, F.col("node") == F.col("fp")).select("id", F.xxhash64("component").alias("group"))
+
+    def across(table):
+        table = table.sort_by("token")
+        token, id_, n, before, own = (table.column(c).to_numpy() for c in ("token", "id", "n", "before", "group"))
+        found, size_ = [np.empty((0, 2), np.int64)], 0
+        for i, j in _list_pairs(token, n, before, similarity, own):
+            found.append(np.stack([np.minimum(id_[i], id_[j]), np.maximum(id_[i], id_[j])], axis=1))
+            size_ += len(i)
+            if size_ > 1_000_000:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                size_ = 0
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"one": pairs[:, 0].copy(), "two": pairs[:, 1].copy()})
+
+    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), met.count() // _POSTINGS + 1)
+    grouped = met.join(group, "id", "left").withColumn("group", F.coalesce("group", F.xxhash64("id", F.lit(1))))
+    grouped = grouped.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(number)))
+    pairs = materialise(grouped.groupBy("part").applyInArrow(across, "one long, two long").distinct())
+
+    def reach(batches):
+        for batch in small(batches):
+            good = [_within_reach(x, y, similarity) for x, y in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)]
+            yield batch.select(range(6)).filter(pa.array(good, pa.bool_()))
 
-    with arrow_rows(docs.sparkSession, TEXT_ROWS):
-        prints = materialise(typed.mapInArrow(prints_of, "doc_id long, digest long, fp binary"))
-    values = _values(prints)
-    near = links(values, wide_scheme())
-    end = lambda fp, name: values.select(F.col("fp").alias(fp), F.col("least.doc_id").alias(name), F.col("least.digest").alias(f"{name}_digest"))
-    pairs = materialise(near.join(end("src", "a"), "src").join(end("dst", "b"), "dst"))
+    end = lambda id_, fp, name: of_set.select(F.col("id").alias(id_), *_end(fp, name), F.col("tally").alias(f"{name}_tally"))
+    one = join_hot(pairs, pairs, end("one", "src", "a"), ["one"], F.octet_length("a_tally"))
+    two = join_hot(one, pairs, end("two", "dst", "b"), ["two"], F.octet_length("b_tally")).select(*_ENDS, "a_tally", "b_tally")
+    with arrow_rows(spark, TEXT_ROWS):
+        return materialise(two.mapInArrow(reach, "src binary, dst binary, a long, a_digest long, b long, b_digest long"))
+
+
+def _alike(typed: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(src, dst) of the ``pairs`` whose sets of shingles have the similarity."""
     wanted = pairs.select(F.explode(F.array(*(F.struct(F.col(c).alias("doc_id"), F.col(f"{c}_digest").alias("digest")) for c in "ab"))).alias("w"))
-    wanted = wanted.select("w.*").distinct()
+    wanted = materialise(wanted.select("w.*").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= _SENT else wanted.hint("merge")
 
     def sets_of(batches):
         for batch in by_size(batches):
@@ -515,9 +740,9 @@ def _similar(docs: DataFrame, similarity: float, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["doc_id", "digest", "x"])
 
     keys = ["doc_id", "digest"]
-    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+    with arrow_rows(typed.sparkSession, TEXT_ROWS):
         sets = materialise(
-            typed.join(wanted.hint("merge"), keys).mapInArrow(sets_of, "doc_id long, digest long, x binary").dropDuplicates(keys)
+            typed.join(wanted, keys).mapInArrow(sets_of, "doc_id long, digest long, x binary").dropDuplicates(keys)
         )
 
     def verify(batches):
@@ -527,13 +752,31 @@ def _similar(docs: DataFrame, similarity: float, size: int) -> DataFrame:
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
                 good.append(both > 0 and both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(good))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     one = join_hot(pairs, pairs, sets.toDF("a", "a_digest", "x"), ["a", "a_digest"], F.octet_length("x"))
     two = join_hot(one, pairs, sets.toDF("b", "b_digest", "y"), ["b", "b_digest"], F.octet_length("y"))
-    with arrow_rows(docs.sparkSession, 500):
-        linked = materialise(two.select("src", "dst", "x", "y").mapInArrow(verify, "src binary, dst binary"))
-    return _components(prints, values, linked)
+    with arrow_rows(typed.sparkSession, 500):
+        return materialise(two.select("src", "dst", "x", "y").mapInArrow(verify, "src binary, dst binary"))
+
+
+def _similar(docs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(doc_id, digest, fp, least) of every row with a doc_id; fp is the digest of its set of shingles."""
+    typed = _named(docs.where("doc_id is not null"))
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        made = materialise(typed.mapInArrow(*_prints_and_common(size)))
+    rows = made.where("doc_id is not null")
+    prints = rows.select("doc_id", "digest", "fp")
+    one = lambda c: F.any_value(c).alias(c)
+    values = materialise(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("least"), one("id"), one("wide"), one("n"), one("tally")))
+    first = materialise(values.groupBy("wide").agg(F.min(F.struct("fp", "least")).alias("first")))
+    near = links(first.select(F.col("wide").alias("fp")), wide_scheme())
+    end = lambda wide, end, name: first.select(F.col("wide").alias(wide), *_end(end, name, "first."))
+    pairs = near.toDF("one", "two").join(end("one", "src", "a"), "one").join(end("two", "dst", "b"), "two").select(*_ENDS)
+    equal = values.join(first, "wide").where("fp != first.fp").select(*_end("src", "a", "first."), *_end("dst", "b"))
+    linked = _alike(typed, materialise(pairs.unionByName(equal)), similarity, size)
+    rest = _unjoined(typed, made, values, linked, similarity, size)
+    return _components(prints, values, linked if rest.isEmpty() else linked.unionByName(_alike(typed, rest, similarity, size)))
 
 
 def keep_one_similar(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -195,6 +195,38 @@ def test_similar_documents_against_brute_force(spark):
     assert kept == sorted(set(found.values()))
 
 
+@pytest.mark.parametrize("common", [None, 2])
+def test_no_similar_document_is_left_out(spark, monkeypatch, common):
+    """Pairs just at 0.8 and just under it, with and without a line that all texts hold: all links are found, and no others."""
+    if common:
+        monkeypatch.setattr(simhash, "_OFTEN", common)
+        monkeypatch.setattr(simhash, "_POSTINGS", 50)
+    rng = random.Random(11)
+    line = prose(rng, 12, 100_000)
+    texts = []
+    for n in range(400):
+        words = prose(rng, rng.choice([40, 60, 94]), 100_000).split()
+        size = len(words) - 4
+        texts.append(" ".join(words) + (f" {line}" if n % 2 else ""))
+        cut = int(size * 0.2) - rng.randrange(2)
+        texts.append(" ".join(words[:-cut] if n % 3 else [*words[:-cut], "x"]) + (f" {line}" if n % 2 else ""))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    holders: dict = {}
+    for i, own in enumerate(sets):
+        for x in own:
+            holders.setdefault(x, set()).add(i)
+    expected = {i: i for i in range(len(texts))}
+    for i in range(0, len(texts), 2):
+        for j in set().union(*(holders[x] for x in sets[i] | sets[i + 1])):
+            for k in (i, i + 1):
+                if len(sets[k] & sets[j]) * 10 >= 8 * len(sets[k] | sets[j]):
+                    assert j // 2 == i // 2
+                    expected[i + 1] = i if j != k else expected[i + 1]
+    assert 100 < sum(i != c for i, c in expected.items()) < 390
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, texts)).collect()}
+    assert found == expected
+
+
 def test_crowded_lists_of_similar_documents(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     rng = random.Random(5)
