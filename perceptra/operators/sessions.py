@@ -28,6 +28,16 @@ def conn_sessions(events: DataFrame, timeout_s: float = 300.0) -> DataFrame:
     )
 
 
+def _open_spans(sessions: DataFrame) -> DataFrame:
+    """(to_, started, ended): when each connection is open, sessions that overlap or touch as one."""
+    spans = sessions.where("ended > started").select(F.col("connection_id").alias("to_"), "started", "ended")
+    before = Window.partitionBy("to_").orderBy("started", "ended").rowsBetween(Window.unboundedPreceding, -1)
+    apart = spans.withColumn("last_", F.max("ended").over(before)).withColumn("new_", F.coalesce((F.col("started") > F.col("last_")).cast("int"), F.lit(1)))
+    so_far = Window.partitionBy("to_").orderBy("started", "ended").rowsBetween(Window.unboundedPreceding, 0)
+    merged = apart.withColumn("span_", F.sum("new_").over(so_far)).groupBy("to_", "span_")
+    return merged.agg(F.min("started").alias("started"), F.max("ended").alias("ended")).drop("span_")
+
+
 def route_messages(messages: DataFrame, sessions: DataFrame, bucket: str = "hour", segment_rows: int = 100_000) -> DataFrame:
     """(message_id, connection_id, ts): where each message goes.
 
@@ -37,21 +47,28 @@ def route_messages(messages: DataFrame, sessions: DataFrame, bucket: str = "hour
     session covers, not pair by pair; where they are many, time is also cut at
     the quantiles of the broadcasts, so that a busy bucket is dealt into parts
     of about ``segment_rows`` broadcasts, each of which meets the sessions open
-    in it.
+    in it. Rows come out once: messages are made distinct and a connection's
+    sessions merged before they meet, so that what is delivered, by far the
+    largest table, leaves the join as it is.
     """
-    spans = sessions.select(F.col("connection_id").alias("to_"), "started", "ended")
+    messages = messages.select("message_id", "connection_id", "ts").distinct()
+    spans = _open_spans(sessions)
     is_open = (F.col("ts") >= F.col("started")) & (F.col("ts") < F.col("ended"))
-    direct = messages.where("connection_id is not null").join(spans, F.col("connection_id") == F.col("to_")).where(is_open)
+    to_all = messages.where("connection_id is null").select(F.col("message_id").alias("id_"), F.col("ts").alias("ts_"))
+    direct = messages.where("connection_id is not null")
+    direct = direct.join(to_all, F.col("message_id").eqNullSafe(F.col("id_")) & (F.col("ts") == F.col("ts_")), "left_anti")
+    direct = direct.join(spans, F.col("connection_id") == F.col("to_")).where(is_open)
     unit = {"hour": 3600, "minute": 60}[bucket]
     slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / unit)
     everyone = messages.where("connection_id is null").withColumn("slot_", slot("ts"))
     edges = materialise(cut_times(everyone, [], "ts", segment_rows))
     kind = everyone.schema["ts"].dataType
-    covered = spans.where("ended > started").withColumn("slot_", F.explode(F.sequence(slot("started"), slot("ended"))))
+    covered = spans.withColumn("slot_", F.explode(F.sequence(slot("started"), slot("ended"))))
     limits = (F.timestamp_seconds(F.col("slot_") * unit), F.timestamp_seconds((F.col("slot_") + 1) * unit))
     covered = covered.withColumns({"low_": F.greatest(F.col("started"), limits[0].cast(kind)), "high_": F.least(F.col("ended"), limits[1].cast(kind))})
     covered = segmented(segmented(covered, [], "low_", edges).withColumnRenamed("seg_", "from_"), [], "high_", edges)
     covered = covered.withColumn("seg_", F.explode(F.sequence("from_", "seg_"))).select("to_", "started", "ended", "slot_", "seg_")
-    met = segmented(everyone, [], "ts", edges).join(covered, ["slot_", "seg_"]).where(is_open)
+    # A merge join gives each message its sessions in one order for all of a part: columns that files compress well.
+    met = segmented(everyone, [], "ts", edges).join(covered.hint("merge"), ["slot_", "seg_"]).where(is_open)
     columns = ["message_id", F.col("to_").alias("connection_id"), "ts"]
-    return direct.select(*columns).distinct().unionByName(met.select(*columns).distinct())
+    return direct.select(*columns).unionByName(met.select(*columns))

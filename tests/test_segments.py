@@ -79,3 +79,19 @@ def test_busy_hours_are_dealt_out(spark, segment_rows):
         everyone = messages.where("connection_id is null")
         sizes = segmented(everyone, [], "ts", cut_times(everyone, [], "ts", 20)).groupBy("seg_").count().collect()
         assert len(sizes) > 8 and max(r["count"] for r in sizes) < 60
+
+
+def test_deliveries_are_unique_as_they_leave_the_join(spark):
+    """Repeated messages, sessions that overlap or touch, a message sent to one and to all: each row once, with no exchange of what is delivered."""
+    start = datetime(2024, 1, 1)
+    at = lambda s: start + timedelta(seconds=s)
+    sent = [(1, None, at(10)), (1, None, at(10)), (1, 5, at(10)), (2, 5, at(20)), (2, 5, at(20)), (3, None, at(4000)), (4, 6, at(30)), (None, None, at(30)), (5, None, None)]
+    spans = [(5, at(0), at(15)), (5, at(5), at(40)), (5, at(40), at(5000)), (5, at(1), at(2)), (6, at(30), at(30)), (6, at(50), at(40)), (7, at(10), at(11))]
+    messages = spark.createDataFrame(sent, "message_id long, connection_id long, ts timestamp")
+    opened = spark.createDataFrame(spans, "connection_id long, started timestamp, ended timestamp")
+    expected = {(m, c, ts) for m, to, ts in sent if ts for c, a, b in spans if a <= ts < b and to in (None, c)}
+    routed = sessions.route_messages(messages, opened)
+    found = [tuple(r) for r in routed.collect()]
+    assert set(found) == expected and len(found) == len(expected)
+    top = routed._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Aggregate" not in top
